@@ -68,7 +68,7 @@ def slices(batches: Iterable[pa.RecordBatch], column: str = "text", most: int =
             yield batch.slice(start)
 
 
-def map_slices(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, column: str = "text", most: int = SLICE_BYTES) -> DataFrame:
+def map_slices(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema, column: str = "text", most: int = SLICE_BYTES) -> DataFrame:
     """mapInArrow with a function of one bounded batch."""
     ship(df.sparkSession)
 
