@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, quality_rules, secrets, toxicity
+from . import bpe, decontaminate, near_dedup, quality_rules, secrets, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,10 @@ def op7_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.rules(table(spark, sf_dir, "documents"))
 
 
+def op8_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_cgk_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), ["doc_id"])
 
@@ -42,7 +46,7 @@ def op10_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_ownership, op4_bpe_lexicon, op7_repetition_rules, op9_cgk_decontamination, op10_compression_toxicity)
+    f.__name__: f for f in (op1_secret_ownership, op4_bpe_lexicon, op7_repetition_rules, op8_bagminhash, op9_cgk_decontamination, op10_compression_toxicity)
 }
 
 ORACLE_SQL: dict[str, str] = {}
