@@ -12,8 +12,10 @@ alike; extra columns are ignored; an empty table gives an empty result and an em
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import regex
@@ -22,13 +24,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .lexicon import Lexicon, compile_words, local_copy
-from .runtime import map_slices, ship
+from .runtime import kept_and, map_slices, materialize, ship
 
 #: Words in the lexicon; the file then has a few MB, whatever the corpus's size.
-LEXICON_WORDS = 60_000
+LEXICON_WORDS = 120_000
 #: Words that a worker remembers apart from the lexicon before it forgets all of them.
 REMEMBERED = 150_000
 
+NO_MERGE = 1 << 62
+
 # Fixed value: the vocabulary's own pattern of pieces.
 PATTERN = public_tokenizers.PATTERN
 
@@ -50,9 +54,17 @@ class Vocabulary:
         raw = lambda token: bytes(of[c] for c in token)
         self.id_of = {raw(t): i for t, i in spec["model"]["vocab"].items()}
         pairs = (m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"])
-        self.rank_of = {(raw(a), raw(b)): n for n, (a, b) in enumerate(pairs)}
+        # left id and right id as one integer -> rank and merged id as one integer, which sorts by rank
+        self.merged = {}
+        for n, (a, b) in enumerate(pairs):
+            a, b = raw(a), raw(b)
+            self.merged[self.id_of[a] << 17 | self.id_of[b]] = n << 17 | self.id_of[a + b]
+        self.keys = np.array(sorted(self.merged), np.int64)
+        self.values = np.array([self.merged[k] for k in self.keys.tolist()], np.int64)
+        self.byte_id = [self.id_of[bytes([b])] for b in range(256)]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.bytes_of = {i: b for b, i in self.id_of.items()} | {i: t.encode() for t, i in self.special.items()}
+        self.csv_of = {i: str(i) for i in self.bytes_of}
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.pieces = regex.compile(PATTERN).findall
 
@@ -67,44 +79,82 @@ class Vocabulary:
 
     def merge(self, word: bytes) -> list[int]:
         """The ids of one piece: the pair of the lowest rank is merged, the leftmost first, until none is left."""
-        parts = [word[i : i + 1] for i in range(len(word))]
-        if len(parts) > 200:
-            return self._merge_long(parts)
-        rank_of, id_of = self.rank_of, self.id_of
-        ranks = [rank_of.get(p, 1 << 30) for p in zip(parts, parts[1:], strict=False)]
-        while ranks:
-            best = min(ranks)
-            if best == 1 << 30:
-                break
-            i = ranks.index(best)
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-            del ranks[i]
-            if i < len(ranks):
-                ranks[i] = rank_of.get((parts[i], parts[i + 1]), 1 << 30)
+        if len(word) > 200:
+            return self._merge_long(word)
+        byte_id, merged = self.byte_id, self.merged.get
+        ids = [byte_id[b] for b in word]
+        found = [merged(a << 17 | b, NO_MERGE) for a, b in zip(ids, ids[1:], strict=False)]
+        while found and (best := min(found)) != NO_MERGE:
+            i = found.index(best)
+            ids[i] = best & 0x1FFFF
+            del ids[i + 1], found[i]
+            if i < len(found):
+                found[i] = merged(ids[i] << 17 | ids[i + 1], NO_MERGE)
             if i:
-                ranks[i - 1] = rank_of.get((parts[i - 1], parts[i]), 1 << 30)
-        return [id_of[p] for p in parts]
+                found[i - 1] = merged(ids[i - 1] << 17 | ids[i], NO_MERGE)
+        return ids
+
+    def _pairs(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        key = left << 17 | right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.values[at], NO_MERGE)
+
+    def merge_many(self, words: list[bytes]) -> list[list[int]]:
+        """merge() of many words; those of equal length go through their merges side by side."""
+        out: list[list[int]] = [[]] * len(words)
+        by_size: dict[int, list[int]] = {}
+        for i, w in enumerate(words):
+            by_size.setdefault(len(w), []).append(i)
+        byte_id = np.array(self.byte_id, np.int64)
+        for size, group in by_size.items():
+            if size > 48 or len(group) < 16:
+                for i in group:
+                    out[i] = self.merge(words[i])
+                continue
+            rows = np.array(group)
+            ids = byte_id[np.frombuffer(b"".join([words[i] for i in group]), np.uint8).reshape(len(group), size)]
+            found = self._pairs(ids[:, :-1], ids[:, 1:])
+            while True:
+                # Every row has the same number of parts here: each step merges one pair of each row that has any.
+                each = np.arange(len(rows))
+                at = found.argmin(1) if found.shape[1] else np.zeros(len(rows), np.int64)
+                best = found[each, at] if found.shape[1] else np.full(len(rows), NO_MERGE)
+                over = best == NO_MERGE
+                for i, own in zip(rows[over].tolist(), ids[over].tolist(), strict=True):
+                    out[i] = own
+                if over.all():
+                    break
+                rows, ids, found, at, best = rows[~over], ids[~over], found[~over], at[~over], best[~over]
+                each, width = np.arange(len(rows)), ids.shape[1] - 1
+                ids[each, at] = best & 0x1FFFF
+                col = np.arange(width)
+                ids = np.take_along_axis(ids, col + (col > at[:, None]), 1)
+                col = col[:-1]
+                found = np.take_along_axis(found, col + (col >= at[:, None]), 1)
+                right = np.flatnonzero(at < width - 1)
+                found[right, at[right]] = self._pairs(ids[right, at[right]], ids[right, at[right] + 1])
+                left = np.flatnonzero(at > 0)
+                found[left, at[left] - 1] = self._pairs(ids[left, at[left] - 1], ids[left, at[left]])
+        return out
 
-    def _merge_long(self, parts: list[bytes]) -> list[int]:
+    def _merge_long(self, word: bytes) -> list[int]:
         """The same for a long piece, with a heap over a linked list: its time grows as n log n."""
-        import heapq
-
-        n, rank_of = len(parts), self.rank_of
+        ids, n, merged = [self.byte_id[b] for b in word], len(word), self.merged.get
         after, before, alive = [*range(1, n), -1], [-1, *range(n - 1)], [True] * n
-        heap = [(r, i, parts[i], parts[i + 1]) for i in range(n - 1) if (r := rank_of.get((parts[i], parts[i + 1]))) is not None]
+        heap = [(m, i, ids[i], ids[i + 1]) for i in range(n - 1) if (m := merged(ids[i] << 17 | ids[i + 1])) is not None]
         heapq.heapify(heap)
         while heap:
-            _, i, a, b = heapq.heappop(heap)
+            m, i, a, b = heapq.heappop(heap)
             j = after[i]
-            if not alive[i] or j < 0 or parts[i] != a or parts[j] != b:
+            if not alive[i] or j < 0 or ids[i] != a or ids[j] != b:
                 continue
-            parts[i], alive[j], after[i] = a + b, False, after[j]
+            ids[i], alive[j], after[i] = m & 0x1FFFF, False, after[j]
             if after[j] >= 0:
                 before[after[j]] = i
             for k in (before[i], i):
-                if k >= 0 and after[k] >= 0 and (r := rank_of.get((parts[k], parts[after[k]]))) is not None:
-                    heapq.heappush(heap, (r, k, parts[k], parts[after[k]]))
-        return [self.id_of[parts[i]] for i in range(n) if alive[i]]
+                if k >= 0 and after[k] >= 0 and (m := merged(ids[k] << 17 | ids[after[k]])) is not None:
+                    heapq.heappush(heap, (m, k, ids[k], ids[after[k]]))
+        return [ids[i] for i in range(n) if alive[i]]
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
@@ -115,24 +165,35 @@ class Encoder:
 
     def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon):
         self.vocabulary, self.lexicon = vocabulary, lexicon
-        self.known: dict[str, tuple[str, int, bytes]] = {}
+        self.csv: dict[str, str] = {}
+        self.raw: dict[str, bytes] = {}
 
     def learn(self, pieces: set[str]) -> None:
-        """Afterwards known has (ids joined by commas, their number, their bytes) of each of the pieces."""
-        if len(self.known) + len(pieces) > REMEMBERED:
-            self.known.clear()
-        new = [p for p in pieces if p not in self.known]
-        raw = [p.encode() for p in new]
-        special, v = self.vocabulary.special, self.vocabulary
-        for piece, word, rank in zip(new, raw, self.lexicon.ranks(raw).tolist(), strict=True):
-            ids = [special[piece]] if piece in special else self.lexicon.ids(rank) if rank >= 0 else v.merge(word)
-            self.known[piece] = ",".join(map(str, ids)), len(ids), b"".join(map(v.bytes_of.__getitem__, ids))
-
-    def batch(self, texts: list[str | None]) -> list[list[tuple[str, int, bytes]]]:
+        """Afterwards csv and raw have the ids, joined by commas, and their bytes, of each of the pieces."""
+        if len(self.csv) + len(pieces) > REMEMBERED:
+            self.csv.clear()
+            self.raw.clear()
+        v = self.vocabulary
+        new = [p for p in pieces if p not in self.csv]
+        words = [p.encode() for p in new]
+        ranks = self.lexicon.ranks(words).tolist()
+        unseen = [i for i, rank in enumerate(ranks) if rank < 0]
+        merged = dict(zip(unseen, v.merge_many([words[i] for i in unseen]), strict=True))
+        special = v.special
+        for i, piece in enumerate(new):
+            ids = [special[piece]] if piece in special else merged[i] if i in merged else self.lexicon.ids(ranks[i])
+            self.keep(piece, ids)
+
+    def keep(self, piece: str, ids: list[int]) -> None:
+        self.csv[piece] = ",".join(map(self.vocabulary.csv_of.__getitem__, ids))
+        self.raw[piece] = b"".join(map(self.vocabulary.bytes_of.__getitem__, ids))
+
+    def batch(self, texts: list[str | None]) -> list[tuple[str, str]]:
+        """Of each text: its ids joined by commas, and what they decode to."""
         cut = [self.vocabulary.split(t or "") for t in texts]
         self.learn(set().union(*cut))
-        known = self.known
-        return [[known[p] for p in pieces] for pieces in cut]
+        csv, raw = self.csv, self.raw
+        return [(",".join([csv[p] for p in pieces]), b"".join([raw[p] for p in pieces]).decode("utf-8", "replace")) for pieces in cut]
 
 
 _ENCODERS: dict[tuple[str, str], Encoder] = {}
@@ -148,11 +209,17 @@ def encoder(name: str, lexicon: Broadcast) -> Encoder:
 
 
 def frequent_words(docs: DataFrame, most: int = LEXICON_WORDS) -> list[str]:
-    """The most frequent pieces of a space and letters, counted over all whole texts; ties go by the word itself."""
+    """The most frequent pieces of a space and letters, counted over all whole texts, `most` at most; words of equal count come together or not at all."""
     words = docs.select(F.explode(F.split(F.coalesce("text", F.lit("")), " ")).alias("w"))
     counts = words.where((F.octet_length("w") > 0) & (F.octet_length("w") <= 40)).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-    letters = counts.where((F.col("n") > 1) & F.col("w").rlike(r"^\p{L}+$"))
-    return [" " + r.w for r in letters.orderBy(F.desc("n"), "w").limit(most).collect()]
+    letters = materialize(counts.where((F.col("n") > 1) & F.col("w").rlike(r"^\p{L}+$")))
+    # The number of words of each count, from the top: the last count that still fits wholly, so that no task gathers `most` words.
+    least, total = None, 0
+    for r in letters.groupBy("n").agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("n")).toLocalIterator():
+        if total + r.words > most:
+            break
+        least, total = r.n, total + r.words
+    return [] if least is None else [" " + r.w for r in letters.where(F.col("n") >= least).select("w").collect()]
 
 
 def build_lexicon(docs: DataFrame, name: str, most: int = LEXICON_WORDS) -> Broadcast:
@@ -162,29 +229,31 @@ def build_lexicon(docs: DataFrame, name: str, most: int = LEXICON_WORDS) -> Broa
     return docs.sparkSession.sparkContext.broadcast(compile_words((w, tuple(vocabulary.merge(w))) for w in words))
 
 
+def _lists(rows: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, rows)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *rows]), pa.int32()))
+
+
 def encode(docs: DataFrame, keep: list[str], name: str = "byte_bpe_50k.json", lexicon: Broadcast | None = None, with_ids: bool = True) -> DataFrame:
     """The columns of `keep` and n_tokens, ids_sha256, decoded_sha256; with_ids adds ids and decoded."""
     ship(docs.sparkSession)
     lexicon = lexicon or build_lexicon(docs, name)
     taken = docs.select(*keep, *([] if "text" in keep else ["text"]))
     extra = ", ids array<int>, decoded string" if with_ids else ""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in taken.schema if f.name in keep) + ", n_tokens long, ids_sha256 string, decoded_sha256 string" + extra
+    schema = kept_and(taken, keep, "n_tokens long, ids_sha256 string, decoded_sha256 string" + extra)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         own = encoder(name, lexicon)
         n, ids_sha, text_sha, ids, decoded = [], [], [], [], []
-        for found in own.batch(batch.column("text").to_pylist()):
-            csv, counts, raw = zip(*found, strict=True) if found else ((), (), ())
-            joined = ",".join(csv)
-            text = b"".join(raw).decode("utf-8", "replace")
-            n.append(sum(counts))
+        for joined, text in own.batch(batch.column("text").to_pylist()):
+            n.append(joined.count(",") + 1 if joined else 0)
             ids_sha.append(hashlib.sha256(joined.encode()).hexdigest())
             text_sha.append(hashlib.sha256(text.encode()).hexdigest())
             if with_ids:
-                ids.append(list(map(int, joined.split(","))) if joined else [])
+                ids.append(np.array(joined.split(","), np.int32) if joined else np.zeros(0, np.int32))
                 decoded.append(text)
         arrays = [batch.column(c) for c in keep] + [pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
-        arrays += [pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())] if with_ids else []
+        arrays += [_lists(ids), pa.array(decoded, pa.string())] if with_ids else []
         return pa.RecordBatch.from_arrays(arrays, names=[*keep, "n_tokens", "ids_sha256", "decoded_sha256", *(["ids", "decoded"] if with_ids else [])])
 
     return map_slices(taken, run, schema)

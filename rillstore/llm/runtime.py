@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterable, Iterator
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 #: Bytes of text that a Python task handles at a time, unless one text alone is longer.
 SLICE_BYTES = 2_000_000
@@ -54,6 +55,11 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def kept_and(df: DataFrame, keep: list[str], ddl: str) -> T.StructType:
+    """The schema of the columns of `keep`, as they are in df, followed by those of ddl."""
+    return T.StructType([df.schema[c] for c in keep] + T.StructType.fromDDL(ddl).fields)
+
+
 def slices(batches: Iterable[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that each holds about `most` bytes of the column (one long value may exceed it)."""
     for batch in batches:
