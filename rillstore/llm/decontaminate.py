@@ -25,7 +25,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import map_slices, ship
+from .runtime import kept_and, map_slices, ship
 
 #: Edits that a match may have, as a share of the item's length; the gram of the lossless thinning.
 EDITS, GRAM = 0.06, 10
@@ -202,7 +202,7 @@ def leaks(docs: DataFrame, items: DataFrame, keep: list[str], most: int = BLOCK_
     """One row per row of docs and item that it leaks: the columns of `keep`, item_id, edits, place (in the normalised text)."""
     ship(docs.sparkSession)
     taken = docs.select(*keep, *([] if "text" in keep else ["text"]))
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in taken.schema if f.name in keep) + "item_id long, edits int, place int"
+    schema = kept_and(taken, keep, "item_id long, edits int, place int")
     out = None
     for block in blocks(items.select(F.col("item_id").cast("long").alias("item_id"), "text"), most):
         shared = docs.sparkSession.sparkContext.broadcast(block)  # at most about `most` bytes

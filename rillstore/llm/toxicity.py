@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import map_slices, ship
+from .runtime import kept_and, map_slices, ship
 
 #: The most labelled rows for the fit, and the most characters of text that it gathers.
 TRAIN_ROWS = 4_000
@@ -223,7 +223,7 @@ def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     ship(docs.sparkSession)
     taken = docs.select(*keep, *([] if "text" in keep else ["text"]))
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in taken.schema if f.name in keep) + SCHEMA
+    schema = kept_and(taken, keep, SCHEMA)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         own = shared.value
