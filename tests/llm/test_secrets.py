@@ -2,8 +2,10 @@ import hashlib
 import re
 from collections import Counter
 
+import duckdb
+
 from rillstore.llm import secrets
-from rillstore.llm.catalog import op1_secret_ownership
+from rillstore.llm.catalog import ORACLE_SQL, op1_secret_ownership
 
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 
@@ -56,3 +58,14 @@ def test_redact_keeps_rows_and_columns(hard):
 def test_empty_table(empty):
     assert secrets.scan(empty, ["doc_id"]).count() == 0
     assert secrets.redact(empty).count() == 0
+
+
+def test_equals_sql(spark, hard, documents, tmp_path):
+    for n, df in enumerate((hard, documents)):
+        df.select("doc_id", "text", "source").write.parquet(f"file://{tmp_path}/{n}/documents.parquet")
+        con = duckdb.connect()
+        con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/{n}/documents.parquet/*.parquet')")
+        want = con.execute(ORACLE_SQL["op1_secret_ownership"])
+        columns = [c[0] for c in want.description]
+        got = op1_secret_ownership(spark, f"file://{tmp_path}/{n}")
+        assert sorted((tuple(r[c] for c in columns) for r in got.collect()), key=repr) == sorted(want.fetchall(), key=repr)
