@@ -59,6 +59,7 @@ def main() -> None:
             catalog.QUERIES[name](spark, d).write.format("noop").mode("overwrite").save()
             best = min(best, time.time() - t)
         times[name] = round(best, 3)
+        print(name, times[name], file=sys.stderr, flush=True)
     store_throughput(spark)
     rates = store_throughput(spark)
     times |= {k: rates.pop(k) for k in ("store_write", "store_read")}

@@ -182,11 +182,13 @@ def bloom_bits(spark, d):
 p AS (SELECT event_id, CAST({_PROBES} AS BIGINT) AS bit FROM hashed), b AS (SELECT DISTINCT bit FROM p WHERE event_id < 1024)
 SELECT event_id AS key, count(b.bit) = 4 AS maybe FROM p LEFT JOIN b ON p.bit = b.bit GROUP BY event_id""")
 def bloom_test(spark, d):
-    """Every key against that filter; the filter has 4,096 bits at most, so its bits are gathered into one row."""
+    """Every key against that filter, whose 4,096 bits become one literal, a byte each."""
+    own = bytearray(4096)
+    for r in bloom_bits(spark, d).collect():  # 4,096 rows at most
+        own[r.bit] = 1
     places = codec.bloom_places(codec.murmur1(kv.binary_key(F.col("event_id"))), 4096)
-    bits = bloom_bits(spark, d).agg(F.collect_set("bit").alias("bits"))
-    keys = table(spark, d, "events").select(F.col("event_id").alias("key"), places.alias("places"))
-    return keys.join(F.broadcast(bits)).select("key", F.forall("places", lambda p: F.array_contains("bits", p)).alias("maybe"))
+    maybe = F.forall(places, lambda p: F.substring(F.lit(bytes(own)), (p + 1).cast("int"), F.lit(1)) == F.lit(b"\x01"))
+    return table(spark, d, "events").select(F.col("event_id").alias("key"), maybe.alias("maybe"))
 
 
 _LENGTH = "CASE WHEN {x} < 128 THEN 1 WHEN {x} < 16384 THEN 2 WHEN {x} < 2097152 THEN 3 WHEN {x} < 268435456 THEN 4 WHEN {x} < 34359738368 THEN 5 WHEN {x} < 4398046511104 THEN 6 ELSE 7 END"

@@ -38,25 +38,44 @@ def varint_length(x: Column, widest: int = 10) -> Column:
 
 def varint(x: Column) -> Column:
     """Seven bits a byte, the low ones first, the high bit set on all but the last."""
-    def byte(i: Column) -> Column:
-        bits = F.call_function("shiftright", x, (i * 7).cast("int")).bitwiseAND(F.lit(0x7F).cast("long"))
-        return F.lpad(F.hex(F.when(i < varint_length(x, 9) - 1, bits + 128).otherwise(bits)), 2, "0")
+    def whole(v: Column) -> Column:
+        def byte(n: Column) -> Callable[[Column], Column]:
+            def one(i: Column) -> Column:
+                bits = F.call_function("shiftright", v, (i * 7).cast("int")).bitwiseAND(F.lit(0x7F).cast("long"))
+                return F.lpad(F.hex(bits + F.when(i < n - 1, 128).otherwise(0)), 2, "0")
 
-    return F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), varint_length(x, 9) - 1), byte), ""))
+            return one
+
+        return let(varint_length(v, 9), lambda n: F.array_join(F.transform(F.sequence(F.lit(0), n - 1), byte(n)), ""))
+
+    return F.unhex(let(x, whole))
 
 
 def varint_value(b: Column, most: int = 10) -> Column:
-    """struct(ok, cursor, value): the varint at the start; not ok if it ends too early or has more than `most` bytes. Values beyond BIGINT come as DECIMAL(20,0)."""
-    h = F.hex(b)
-    places = F.filter(F.sequence(F.lit(0), F.lit(most - 1)), lambda i: i < F.octet_length(b))
-    zero = F.struct(F.lit(False).alias("ok"), F.lit(0).alias("cursor"), F.lit(0).cast("decimal(38,0)").alias("value"), F.lit(1).cast("decimal(38,0)").alias("unit"))
+    """struct(ok, cursor, value): the varint at the start; not ok if it ends too early or has more than `most` bytes. The value is a DECIMAL(20,0).
+
+    The first eight bytes give 56 bits, the others the rest, so that both sums stay within BIGINT.
+    """
+    zero = F.struct(F.lit(False).alias("ok"), F.lit(0).alias("cursor"), F.lit(0).cast("long").alias("low"), F.lit(0).cast("long").alias("high"))
+
+    def of(h: Column) -> Column:
+        places = F.filter(F.sequence(F.lit(0), F.lit(most - 1)), lambda i: i * 2 < F.length(h))
+
+        def step(acc: Column, i: Column) -> Column:
+            def add(c: Column) -> Column:
+                bits = F.call_function("shiftleft", c % 128, (i % 8 * 7).cast("int"))
+                low, high = F.when(i < 8, bits).otherwise(0), F.when(i < 8, 0).otherwise(bits)
+                return F.struct((c < 128).alias("ok"), (acc["cursor"] + 1).alias("cursor"), (acc["low"] + low).alias("low"), (acc["high"] + high).alias("high"))
 
-    def step(acc: Column, i: Column) -> Column:
-        c = _hex_at(h, i)
-        value = (acc["value"] + acc["unit"] * (c % 128).cast("decimal(38,0)")).cast("decimal(38,0)")
-        return F.when(acc["ok"], acc).otherwise(F.struct((c < 128).alias("ok"), (acc["cursor"] + 1).alias("cursor"), value.alias("value"), (acc["unit"] * 128).cast("decimal(38,0)").alias("unit")))
+            return F.when(acc["ok"], acc).otherwise(let(_hex_at(h, i), add))
 
-    return F.aggregate(places, zero, step, lambda a: F.struct(a["ok"].alias("ok"), a["cursor"].alias("cursor"), F.when(a["ok"], a["value"].cast("decimal(20,0)")).alias("value")))
+        def out(acc: Column) -> Column:
+            value = acc["high"].cast("decimal(20,0)") * F.lit(1 << 56).cast("decimal(20,0)") + acc["low"]
+            return F.struct(acc["ok"].alias("ok"), acc["cursor"].alias("cursor"), F.when(acc["ok"], value.cast("decimal(20,0)")).alias("value"))
+
+        return F.aggregate(places, zero, step, out)
+
+    return let(F.hex(b), of)
 
 
 def fixed_le(x: Column, width: int) -> Column:
@@ -84,7 +103,7 @@ def unframed(b: Column) -> Column:
 
 
 def _times(h: Column) -> Column:
-    """h * FACTOR in 32 bits."""
+    """h * FACTOR in 32 bits; h is used twice, so it should be a variable."""
     low = h.bitwiseAND(F.lit(0xFFFF).cast("long")) * FACTOR
     high = F.shiftleft((F.shiftright(h, 16) * FACTOR).bitwiseAND(F.lit(0xFFFF).cast("long")), 16)
     return (low + high).bitwiseAND(F.lit(LOW).cast("long"))
@@ -92,12 +111,16 @@ def _times(h: Column) -> Column:
 
 def _mixed(h: Column, shift: int) -> Column:
     """h * FACTOR, then the high bits folded down."""
-    return let(_times(h), lambda x: x.bitwiseXOR(F.shiftright(x, shift)))
+    return let(h, lambda a: let(_times(a), lambda x: x.bitwiseXOR(F.shiftright(x, shift))))
 
 
 def murmur1(b: Column, seed: int = SEED) -> Column:
-    """The 32-bit Murmur1 hash of bytes as a BIGINT."""
-    h, n = F.hex(b), F.octet_length(b).cast("long")
+    """The 32-bit Murmur1 hash of bytes as a BIGINT; null for null."""
+    return let(F.hex(b), lambda h: _murmur1(h, seed))
+
+
+def _murmur1(h: Column, seed: int) -> Column:
+    n = (F.length(h) / 2).cast("long")
     word = lambda i: F.conv(F.concat(*[F.substring(h, i * 8 + k, F.lit(2)) for k in (7, 5, 3, 1)]), 16, 10).cast("long")
     words = F.filter(F.sequence(F.lit(0), F.greatest(F.floor(n / 4) - 1, F.lit(0)).cast("int")), lambda i: (i + 1) * 4 <= n)
     low = F.lit(LOW).cast("long")
@@ -112,8 +135,10 @@ def murmur1(b: Column, seed: int = SEED) -> Column:
 
 def bloom_places(h: Column, size: int) -> Column:
     """The four bit places of a 32-bit hash in a filter; size is the modulus (the reference filter takes its length in bytes)."""
-    turned = (F.shiftright(h, 15) + F.shiftleft(h.bitwiseAND(F.lit(0x7FFF).cast("long")), 17)).bitwiseAND(F.lit(LOW).cast("long"))
-    return F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (h + turned * i).bitwiseAND(F.lit(LOW).cast("long")) % size)
+    low = F.lit(LOW).cast("long")
+    turn = lambda x: F.shiftright(x, 15) + F.shiftleft(x.bitwiseAND(F.lit(0x7FFF).cast("long")), 17)
+    place = lambda x, d, i: (x + d * i).bitwiseAND(low) % size
+    return let(h, lambda x: let(turn(x).bitwiseAND(low), lambda d: F.array(*[place(x, d, i) for i in range(4)])))
 
 
 def file_name(kind: Column, number: Column) -> Column:
