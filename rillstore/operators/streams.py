@@ -8,14 +8,19 @@ from pyspark.sql import functions as F
 from ..plans.ordinals import numbered
 
 
-def append(arriving: DataFrame, history: DataFrame | None = None, stream: str = "stream", seq: str = "seq") -> DataFrame:
-    """Arriving records with their ordinals, by seq, after what the history already holds of their streams."""
+def append(arriving: DataFrame, history: DataFrame | None = None, ends: DataFrame | None = None, stream: str = "stream", seq: str = "seq") -> DataFrame:
+    """Arriving records with their ordinals, by seq, after what their streams already hold.
+
+    That is known from the history's records, or from ends (stream, length), which is far smaller where it is kept.
+    """
     fresh = numbered(arriving, [seq], [stream], "n", start=0)
-    if history is None:
+    if history is not None:
+        have = history.join(arriving.select(stream).distinct(), stream, "left_semi")
+        ends = have.groupBy(stream).agg((F.max("n") + 1).alias("length"))
+    if ends is None:
         return fresh
-    have = history.join(arriving.select(stream).distinct(), stream, "left_semi")
-    ends = have.groupBy(stream).agg((F.max("n") + 1).alias("_end"))
-    return fresh.join(ends, stream, "left").withColumn("n", F.col("n") + F.coalesce("_end", F.lit(0))).drop("_end")
+    before = ends.select(stream, F.col("length").alias("_end"))
+    return fresh.join(before, stream, "left").withColumn("n", F.col("n") + F.coalesce("_end", F.lit(0))).drop("_end")
 
 
 def read(log: DataFrame, stream: object, first: int = 0, last: int | None = None) -> DataFrame:

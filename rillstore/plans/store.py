@@ -35,11 +35,11 @@ class Store:
     def set_all(self, batch: DataFrame, tag: str | None = None, files: int = 1) -> int:
         """Append a batch of (key, value) or (key, seq, value) as one run and commit it; returns the version.
 
-        Without seq the rows of a batch get one sequence number each, above all before. A tag that was committed already
-        makes this do nothing, so that a retried batch counts once.
+        Without seq the rows of a batch get one sequence number each, above all before. A tag, writer-number, that was
+        committed already makes this do nothing, so that a retried batch counts once.
         """
         self._open()
-        if tag is not None and tag in self.manifest.tags():
+        if self.manifest.seen(tag):
             return self.manifest.state()[0]
         if "seq" not in batch.columns:
             _, known = self.manifest.state()
@@ -48,7 +48,7 @@ class Store:
         name = self._write(batch.select("key", "seq", "value"), files)
         last = self.spark.read.parquet(f"{self.path}/{name}").agg(F.max("seq")).first()[0]
         add = {"action": "add", "file": name, "last_seq": -1 if last is None else last, "tag": tag}
-        return self.manifest.commit(lambda known: [] if tag is not None and tag in self.manifest.tags() else [add])
+        return self.manifest.commit(lambda known: [] if self.manifest.seen(tag) else [add])
 
     def entries(self, version: int | None = None) -> DataFrame:
         """All versions of all entries of the store's current, or an earlier, version."""

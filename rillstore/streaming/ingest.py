@@ -15,6 +15,9 @@ from ..operators import streams
 from ..plans.manifest import Manifest
 
 SCHEMA = "stream string, n bigint, seq bigint, type string, data string"
+ENDS = "stream string, length bigint"
+#: Tables of stream lengths that an append merges into one.
+MERGE_ENDS = 16
 
 
 class EventLog:
@@ -22,26 +25,42 @@ class EventLog:
         self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
         self.manifest = Manifest(spark, f"{self.path}/_log")
 
-    def read(self, version: int | None = None) -> DataFrame:
-        _, files = self.manifest.state(version)
+    def _files(self, known: dict[str, dict], kind: str) -> list[str]:
+        return sorted(f for f, a in known.items() if a["kind"] == kind)
+
+    def _read(self, files: list[str], schema: str) -> DataFrame:
         if not files:
-            return self.spark.createDataFrame([], SCHEMA)
-        return self.spark.read.schema(SCHEMA).parquet(*[f"{self.path}/{f}" for f in sorted(files)])
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*[f"{self.path}/{f}" for f in files])
+
+    def read(self, version: int | None = None) -> DataFrame:
+        return self._read(self._files(self.manifest.state(version)[1], "records"), SCHEMA)
+
+    def ends(self, known: dict[str, dict]) -> DataFrame:
+        """The length of every stream, from the small tables that appends leave beside the records."""
+        return self._read(self._files(known, "ends"), ENDS).groupBy("stream").agg(F.max("length").alias("length"))
 
     def append(self, batch: DataFrame, tag: str) -> None:
         """Records (stream, seq, type, data) in order of seq; nothing happens if the tag is committed already."""
-        if tag in self.manifest.tags():
+        if self.manifest.seen(tag):
             return
-        version, _ = self.manifest.state()
-        out = streams.append(batch.select("stream", "seq", "type", "data"), self.read(version))
-        name = f"part-of-log-{uuid.uuid4().hex}"
-        out.select("stream", "n", "seq", "type", "data").repartition(self.buckets, "stream").sortWithinPartitions("stream", "n").write.parquet(f"{self.path}/{name}")
-
-        def add(known: dict) -> list[dict]:
+        version, known = self.manifest.state()
+        ends = self.ends(known)
+        out = streams.append(batch.select("stream", "seq", "type", "data"), ends=ends).select("stream", "n", "seq", "type", "data")
+        records, lengths = f"records-{uuid.uuid4().hex}", f"ends-{uuid.uuid4().hex}"
+        # By ranges of stream and ordinal: files prune reads of a stream, and a hot stream takes several.
+        out.repartitionByRange(self.buckets, "stream", "n").sortWithinPartitions("stream", "n").write.parquet(f"{self.path}/{records}")
+        own = self._read([records], SCHEMA).groupBy("stream").agg((F.max("n") + 1).alias("length"))
+        old = self._files(known, "ends")
+        merge = len(old) >= MERGE_ENDS
+        (own.unionByName(ends).groupBy("stream").agg(F.max("length").alias("length")) if merge else own).write.parquet(f"{self.path}/{lengths}")
+
+        def add(_: dict) -> list[dict]:
             # Ordinals were given on top of `version`; another append since then would make them clash.
             if self.manifest.state()[0] != version:
                 raise ValueError("another writer has appended; append again")
-            return [{"action": "add", "file": name, "tag": tag}]
+            gone = [{"action": "remove", "file": f} for f in old] if merge else []
+            return [*gone, {"action": "add", "file": records, "kind": "records", "tag": tag}, {"action": "add", "file": lengths, "kind": "ends"}]
 
         self.manifest.commit(add)
 

@@ -61,6 +61,11 @@ def test_a_tag_counts_once(spark, tmp_path):
     for _ in range(3):
         store.set_all(batch(spark, [(b"a", b"1")]), tag="batch-1")
     assert store.entries().count() == 1
+    store.set_all(batch(spark, [(b"a", b"2")]), tag="batch-2")
+    store.compact()
+    store.manifest.checkpoint()
+    store.set_all(batch(spark, [(b"a", b"1")]), tag="batch-1")
+    assert content(store.scan()) == {b"a": b"2"}
 
 
 def test_unfinished_write_is_invisible(spark, tmp_path):

@@ -44,6 +44,16 @@ def test_a_batch_counts_once(spark, tmp_path):
     assert log.read().count() == 5
 
 
+def test_lengths_are_merged(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("rillstore.streaming.ingest.MERGE_ENDS", 2)
+    log = EventLog(spark, f"file://{tmp_path}/log")
+    for i in range(5):
+        log.append(spark.createDataFrame([(f"s{i % 2}", i, "t", "{}"), ("every", 100 + i, "t", "{}")], SCHEMA), f"b-{i}")
+    assert {r.stream: r.length for r in log.ends(log.manifest.state()[1]).collect()} == {"s0": 3, "s1": 2, "every": 5}
+    assert sorted(r.n for r in log.read().where("stream = 'every'").collect()) == list(range(5))
+    assert sum(a["kind"] == "ends" for a in log.manifest.state()[1].values()) < 4
+
+
 def test_windows_of_event_time(spark, tmp_path):
     rows = spark.sql("SELECT 'a' AS stream, timestamp'2024-01-01 01:00:00' + make_interval(0, 0, 0, cast(id AS int)) AS ts FROM range(3)")
     rows.write.parquet(f"file://{tmp_path}/in")
