@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.shared import ship
+
 # The file kinds by number.
 KINDS = {1: "manifest", 2: "log", 3: "table"}
 
@@ -85,6 +87,7 @@ def manifest_edits(raw: bytes) -> Iterator[tuple[int, bool, str, int]]:
 
 
 def _files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
+    ship(spark)
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select(F.regexp_extract("path", r"([0-9]+)\.\w+$", 1).cast("long").alias("number"), "content")
 
 
