@@ -1,56 +1,24 @@
-"""What the operators share: package shipping, materialised tables, Arrow batches of bounded size."""
+"""What the operators share: written tables and Arrow batches of bounded size."""
 
 from __future__ import annotations
 
-import hashlib
-import os
-import tempfile
-import uuid
-import zipfile
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from ..plans.shared import folder, ship
+
 #: Bytes of text that a Python task handles at a time, unless one text alone is longer.
 SLICE_BYTES = 2_000_000
 
 
-def ship(spark: SparkSession) -> None:
-    """Give executors this package, so that its functions can be unpickled there."""
-    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    if not os.path.isdir(root):  # already running from a shipped archive
-        return
-    files = sorted(os.path.join(d, f) for d, _, names in os.walk(root) for f in names if f.endswith(".py"))
-    blobs = [(os.path.relpath(f, os.path.dirname(root)), open(f, "rb").read()) for f in files]
-    digest = hashlib.sha256(b"".join(n.encode() + b for n, b in blobs)).hexdigest()[:16]
-    sc = spark.sparkContext
-    if getattr(sc, "_rillstore_shipped", None) == digest:
-        return
-    path = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="rillstore")), f"rillstore_{digest}.zip")
-    with zipfile.ZipFile(path, "w") as z:
-        for name, blob in blobs:
-            z.writestr(name, blob)
-    sc.addPyFile(path)
-    sc._rillstore_shipped = digest
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one where that is unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="rillstore-shared")
-        spark.sparkContext.setCheckpointDir(named)
-        named = spark.sparkContext.getCheckpointDir()
-    return named.rstrip("/")
-
-
 def materialize(df: DataFrame) -> DataFrame:
     """Write a table into the shared folder and read it again: cuts lineage and survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/rillstore-{uuid.uuid4().hex}"
+    path = folder(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
