@@ -24,6 +24,14 @@ def as_number(df: DataFrame, name: str) -> Column:
     return F.col(name).cast("double")
 
 
+def slice_of(x: Column, cuts: list[float], first: int = 0) -> Column:
+    """How many of the sorted cuts are at most x, by halving."""
+    if not cuts:
+        return F.lit(first)
+    mid = len(cuts) // 2
+    return F.when(x < F.lit(float(cuts[mid])), slice_of(x, cuts[:mid], first)).otherwise(slice_of(x, cuts[mid + 1 :], first + mid + 1))
+
+
 def numbered(df: DataFrame, order: list[str], group: list[str] = (), name: str = "rn", start: int = 1) -> DataFrame:
     """df with dense ordinals within each group by the order columns, which must be unique within it."""
     group = list(group)
@@ -35,8 +43,7 @@ def numbered(df: DataFrame, order: list[str], group: list[str] = (), name: str =
     if slices < 2:
         return df.withColumn(name, F.row_number().over(W.partitionBy(*group).orderBy(*by)).cast("long") + (start - 1))
     at = df.agg(F.percentile_approx(place, [i / slices for i in range(1, slices)], 10_000)).first()[0]
-    cuts = F.array(*[F.lit(float(c)) for c in sorted(set(at))])
-    cut = df.withColumn("_slice", F.size(F.filter(cuts, lambda c: c <= F.coalesce(place, F.lit(float("-inf"))))))
+    cut = df.withColumn("_slice", slice_of(F.coalesce(place, F.lit(float("-inf"))), sorted(set(at))))
     counts = cut.groupBy(*group, "_slice").agg(F.count(F.lit(1)).alias("_n"))
     before = W.partitionBy(*group).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
     offsets = counts.select(*group, "_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
