@@ -60,8 +60,8 @@ def cuts(raw: bytes) -> list[int]:
 
 
 def _chunked(batch: pa.RecordBatch) -> pa.RecordBatch:
-    rows, digests, at, end = [], [], [], []
-    for row, text in zip(batch.column("row").to_pylist(), batch.column("text").to_pylist(), strict=True):
+    rows, digests, at, end, source = [], [], [], [], []
+    for n, (row, text) in enumerate(zip(batch.column("row").to_pylist(), batch.column("text").to_pylist(), strict=True)):
         if not text:
             continue
         raw = text.encode()
@@ -73,11 +73,12 @@ def _chunked(batch: pa.RecordBatch) -> pa.RecordBatch:
             digests.append(xxhash.xxh3_128_digest(raw[start:e]))
             start = e
         rows.append(np.full(len(ends), row))
+        source.append(np.full(len(ends), n))
         end.append(places)
         at.append(np.r_[0, places[:-1]])
     whole = lambda x, kind: pa.array(np.concatenate([np.zeros(0, np.int64), *x]).astype(kind))
     halves = np.frombuffer(b"".join(digests), ">i8").reshape(-1, 2).astype(np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(halves[:, 0]), pa.array(halves[:, 1]), whole(rows, np.int64), whole(at, np.int32), whole(end, np.int32)], names=["hi", "lo", "row", "at", "end"])
+    return pa.RecordBatch.from_arrays([pa.array(halves[:, 0]), pa.array(halves[:, 1]), whole(rows, np.int64), whole(at, np.int32), whole(end, np.int32), batch.column("doc_id").take(whole(source, np.int64))], names=["hi", "lo", "row", "at", "end", "doc_id"])
 
 
 def _joined(batch: pa.RecordBatch, least: int) -> pa.RecordBatch:
@@ -106,9 +107,14 @@ def _joined(batch: pa.RecordBatch, least: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(spans, kind), pa.array(cut, kind)], names=["row", "spans", "cut"])
 
 
-def repeated(texts: DataFrame, least: int = LEAST_SPAN) -> DataFrame:
-    """Of texts (row, text), those rows with repeated passages: row, spans, cut (arrays of at, end in characters)."""
-    chunks = materialize(map_slices(texts.select("row", "text"), _chunked, "hi long, lo long, row long, at int, end int"))
+def chunk_table(texts: DataFrame) -> DataFrame:
+    """The chunks of texts (row, doc_id, text): hi, lo, row, at, end, doc_id; a written table, so row numbers stay."""
+    own = texts.select("row", F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return materialize(map_slices(own, _chunked, "hi long, lo long, row long, at int, end int, doc_id long"))
+
+
+def repeated(chunks: DataFrame, least: int = LEAST_SPAN) -> DataFrame:
+    """The rows with repeated passages: row, spans, cut (arrays of at, end in characters)."""
     place = F.struct("row", "at")
     shared = chunks.groupBy("hi", "lo").agg(F.min(place).alias("first"), F.max("row").alias("last")).where("first.row < last")
     hits = chunks.join(shared.select("hi", "lo", "first"), ["hi", "lo"])
@@ -118,23 +124,19 @@ def repeated(texts: DataFrame, least: int = LEAST_SPAN) -> DataFrame:
     return parts.mapInArrow(lambda batches: (_joined(b, least) for b in batches), f"row long, spans {spans}, cut {spans}")
 
 
-def _rows(docs: DataFrame) -> DataFrame:
-    """docs as kept, row, text, with row numbers that stay: a written table."""
-    return materialize(docs.select(F.struct(*docs.columns).alias("kept"), F.monotonically_increasing_id().alias("row"), F.col("text")))
-
-
 def passages(docs: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """One row per row of docs with repeated passages: doc_id, spans, cut."""
-    numbered = docs.select(F.col(doc_id).alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col("text"))
-    numbered = materialize(numbered)
-    return repeated(numbered).join(numbered.select("row", "doc_id"), "row").select("doc_id", "spans", "cut")
+    """One row per row of docs with repeated passages: doc_id, spans, cut. Texts are read once and not kept."""
+    chunks = chunk_table(docs.select(F.col(doc_id).alias("doc_id"), F.monotonically_increasing_id().alias("row"), "text"))
+    names = chunks.where("at = 0").select("row", "doc_id")
+    return repeated(chunks).join(names, "row").select("doc_id", "spans", "cut")
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """docs with all but the first occurrence of every repeated passage cut from the texts; rows and columns stay."""
     cols = docs.columns
-    numbered = _rows(docs)
-    found = numbered.join(repeated(numbered).select("row", "cut"), "row", "left")
+    numbered = materialize(docs.select(F.struct(*docs.columns).alias("kept"), F.monotonically_increasing_id().alias("row"), "text"))
+    chunks = chunk_table(numbered.select("row", F.lit(None).alias("doc_id"), "text"))
+    found = numbered.join(repeated(chunks).select("row", "cut"), "row", "left")
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     step = lambda acc, s: F.struct(s["end"].alias("at"), F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, s["at"] - acc["at"])).alias("out"))
     rest = lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.char_length("text")))
