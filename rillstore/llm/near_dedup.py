@@ -248,7 +248,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     signed, labels = classes(docs)
     named = signed.select("row", F.col(f"kept.`{doc_id}`").alias("doc_id")).join(labels, "row")
     named = materialize(named)
-    sizes = named.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
+    # Written, so that the join below has exchanges of its own and a class of any size is split among tasks.
+    sizes = materialize(named.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size")))
     return named.join(sizes, "label").select("doc_id", "class_id", "class_size")
 
 
@@ -257,6 +258,7 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     signed, labels = classes(docs)
     order = F.struct(F.col(f"kept.`{doc_id}`").isNull().alias("no"), F.col(f"kept.`{doc_id}`").alias("id"), F.col("row"))
     named = materialize(signed.select("row", order.alias("rank")).join(labels, "row"))
-    kept = named.groupBy("label").agg(F.min("rank").alias("rank"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    # Written, so that the join below has exchanges of its own and a class of any size is split among tasks.
+    kept = materialize(named.groupBy("label").agg(F.min("rank").alias("rank"), F.count(F.lit(1)).alias("n")).where("n > 1"))
     gone = named.select("label", "row").join(kept.select("label", F.col("rank.row").alias("first")), "label").where("row <> first").select("row")
     return _among(signed.select("row", "kept"), materialize(gone), "left_anti").select("kept.*")
