@@ -23,7 +23,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .lexicon import Lexicon, compile_words, local_copy
+from .lexicon import Lexicon, compile_words, mapped
 from .runtime import kept_and, map_slices, materialize, ship
 
 #: Words in the lexicon; the file then has a few MB, whatever the corpus's size.
@@ -201,11 +201,12 @@ _ENCODERS: dict[tuple[str, str], Encoder] = {}
 
 def encoder(name: str, lexicon: Broadcast) -> Encoder:
     """This worker's encoder for a vocabulary and a lexicon."""
-    file = local_copy(lexicon.value)
-    if (name, file) not in _ENCODERS:
+    blob = lexicon.value
+    key = name, hashlib.sha256(blob).hexdigest()
+    if key not in _ENCODERS:
         _ENCODERS.clear()
-        _ENCODERS[name, file] = Encoder(Vocabulary(public_tokenizers.path(name)), Lexicon(file))
-    return _ENCODERS[name, file]
+        _ENCODERS[key] = Encoder(Vocabulary(public_tokenizers.path(name)), mapped(blob))
+    return _ENCODERS[key]
 
 
 def frequent_words(docs: DataFrame, most: int = LEXICON_WORDS) -> list[str]:
@@ -242,8 +243,12 @@ def encode(docs: DataFrame, keep: list[str], name: str = "byte_bpe_50k.json", le
     extra = ", ids array<int>, decoded string" if with_ids else ""
     schema = kept_and(taken, keep, "n_tokens long, ids_sha256 string, decoded_sha256 string" + extra)
 
+    made: list[Encoder] = []
+
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        own = encoder(name, lexicon)
+        if not made:
+            made.append(encoder(name, lexicon))
+        own = made[0]
         n, ids_sha, text_sha, ids, decoded = [], [], [], [], []
         for joined, text in own.batch(batch.column("text").to_pylist()):
             n.append(joined.count(",") + 1 if joined else 0)

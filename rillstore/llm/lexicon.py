@@ -7,7 +7,6 @@ rank indexes the outputs (lists of ids). The arrays lie in one flat file that re
 
 from __future__ import annotations
 
-import hashlib
 import json
 import os
 import tempfile
@@ -109,11 +108,9 @@ class Lexicon:
         return self.outputs[self.offsets[rank] : self.offsets[rank + 1]].tolist()
 
 
-def local_copy(blob: bytes) -> str:
-    """A file of this machine's temporary folder with the bytes; made once, by whoever comes first."""
-    path = os.path.join(tempfile.gettempdir(), f"lexicon-{hashlib.sha256(blob).hexdigest()[:24]}")
-    if not os.path.exists(path):
-        with tempfile.NamedTemporaryFile(dir=tempfile.gettempdir(), delete=False) as f:
-            f.write(blob)
-        os.replace(f.name, path)
-    return path
+def mapped(blob: bytes) -> Lexicon:
+    """The lexicon of these bytes, mapped from a file of this machine's temporary folder that is gone when the process is."""
+    with tempfile.NamedTemporaryFile(prefix="lexicon-") as f:
+        f.write(blob)
+        f.flush()
+        return Lexicon(f.name)

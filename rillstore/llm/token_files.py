@@ -21,7 +21,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .bpe import Encoder, Vocabulary
-from .lexicon import Lexicon, compile_words, local_copy
+from .lexicon import compile_words, mapped
 from .runtime import materialize, ship, slices
 
 #: Bytes of a block.
@@ -52,7 +52,7 @@ def _encoder(name: str) -> FlatEncoder:
         v = Vocabulary(public_tokenizers.path(name))
         words = ((b, (i,)) for b, i in v.id_of.items() if b.isascii() and b.strip().isalpha() and v.pieces(b.decode()) == [b.decode()])
         own = [(b, i) for b, i in words if v.merge(b) == list(i)]
-        _ENCODERS[name] = FlatEncoder(v, Lexicon(local_copy(compile_words(own))))
+        _ENCODERS[name] = FlatEncoder(v, mapped(compile_words(own)))
     return _ENCODERS[name]
 
 

@@ -6,7 +6,7 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 from rillstore.llm import bpe
-from rillstore.llm.lexicon import Lexicon, compile_words, local_copy
+from rillstore.llm.lexicon import compile_words, mapped
 
 NAME = "byte_bpe_50k.json"
 
@@ -31,7 +31,7 @@ def test_round_trip(documents):
 def test_lexicon_against_dict():
     draw = random.Random(3)
     words = {bytes(draw.choice(b"abc") for _ in range(draw.randint(1, 7))): (i, i * 2) for i in range(600)}
-    lexicon = Lexicon(local_copy(compile_words(words.items())))
+    lexicon = mapped(compile_words(words.items()))
     probes = [*words, b"", b"abcabcabcabc", b"d", *(w + b"z" for w in words)]
     for probe, rank in zip(probes, lexicon.ranks(probes).tolist(), strict=True):
         assert (tuple(lexicon.ids(rank)) if rank >= 0 else None) == words.get(probe)
