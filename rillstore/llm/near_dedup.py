@@ -11,9 +11,10 @@ of two documents agree with the probability of their weighted Jaccard similarity
 
 Copies are folded first. Then signatures are banded; documents of a bucket are compared with a centre of the bucket,
 never with each other in all pairs, first each with the centre that shares most bands, then, in rounds, one witness
-of every class in a bucket with a witness of another. All comparisons are exact, on the whole multisets. With 24 bands of
-5 slots a pair at the threshold shares a bucket with probability 0.9999; what the rounds find is compared
-with brute force in test_near_dedup.py.
+of every class in a bucket with a witness of another. The rounds only join most classes cheaply: rows of buckets that
+still hold several classes are then searched completely, by an exact prefix filter on their grams (`candidates`).
+All comparisons are exact, on the whole multisets. With 24 bands of 5 slots a pair at the threshold shares a bucket
+with probability 0.9999; a pair that does is never missed.
 
 Defined cases: texts of one to four words are one gram of all their words; a null text or one without words is alone in its
 class; repeated rows are copies, doc_id need not be unique, and a class is named by its least doc_id (null if all
@@ -25,7 +26,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,7 +36,7 @@ from .runtime import map_slices, materialize
 WORDS, SIMILAR = 5, 0.8
 #: Bands of a signature and slots of a band.
 BANDS, SLOTS = 24, 5
-#: Rounds that compare witnesses of different classes in a bucket; they end earlier when none is left to compare.
+#: Rounds that compare witnesses of different classes in a bucket, before the buckets are searched completely.
 ROUNDS = 4
 #: A set of row numbers is broadcast up to this many rows (16 MB); beyond, the join is shuffled.
 BROADCAST_ROWS = 1_000_000
@@ -200,6 +201,59 @@ def _relabel(labels: DataFrame, links: DataFrame) -> DataFrame:
     return materialize(labels.join(moved, "label", "left").select("row", F.coalesce("next", "label").alias("label")))
 
 
+def _elements(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """The grams of each row as a set: the k-th occurrence of a gram is an element of its own."""
+    rows, sizes, elements = [], [], []
+    for row, raw in zip(batch.column("row").to_pylist(), batch.column("grams").to_pylist(), strict=True):
+        gram = np.frombuffer(raw, np.uint64)
+        new = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]][: len(gram)])
+        nth = np.arange(len(gram)) - np.repeat(new, np.diff(np.r_[new, len(gram)]))
+        elements.append(np.where(nth > 0, mix(gram + GOLD * nth.astype(np.uint64)), gram).view(np.int64))
+        rows.append(np.full(len(gram), row, np.int64))
+        sizes.append(np.full(len(gram), len(gram), np.int32))
+    whole = lambda x, kind: pa.array(np.concatenate([np.zeros(0, kind), *x]))
+    return pa.RecordBatch.from_arrays([whole(rows, np.int64), whole(sizes, np.int32), whole(elements, np.int64)], names=["row", "size", "element"])
+
+
+def candidates(members: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (a, b) of rows of different classes, among the buckets that still hold several: all that can be similar.
+
+    With elements in one order, rarest first, the first common element of two similar texts lies within the first
+    size - need + 1 of both, where need is the least overlap that reaches the similarity. The smaller text then has it in a
+    shorter head than the larger, so texts that share less than the threshold with each other, as those of a
+    template do, meet nowhere. A class that holds most rows of an element is never compared with itself.
+    """
+    held = materialize(members.select("band", "key", "row").join(labels, "row"))
+    # A bucket of two rows is done: the first round compared them.
+    mixed = materialize(held.groupBy("band", "key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n")).where("low <> high and n > 2").select("band", "key"))
+    rows = materialize(held.join(mixed, ["band", "key"]).select("row", "label").distinct())
+    own = map_slices(_among(texts, rows.select("row"), "left_semi"), _gathered, "row long, grams binary")
+    each = materialize(map_slices(own, _elements, "row long, size int, element long", "grams"))
+    often = materialize(each.groupBy("element").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    by_row = Window.partitionBy("row")
+    # Elements of one row alone come first in every order; they only count.
+    place = F.col("size") - F.count(F.lit(1)).over(by_row) + F.row_number().over(by_row.orderBy("n", "element")) - 1
+    placed = each.join(often, "element").select("row", "size", "element", place.alias("place"))
+    heads = materialize(placed.where(F.col("place") <= F.col("size") * (1 - SIMILAR) + 1e-6).join(rows, "row"))
+    of_class = heads.groupBy("element", "label").agg(F.count(F.lit(1)).alias("n"))
+    most = of_class.groupBy("element").agg(F.max_by("label", F.struct("n", "label")).alias("most"), F.count(F.lit(1)).alias("classes")).where("classes > 1").drop("classes")
+    heads = materialize(heads.join(materialize(most), "element"))
+    named = lambda df, x: df.select("element", *[F.col(c).alias(f"{x}_{c}") for c in ("row", "label", "size", "place")])
+    short = heads.where(F.col("place") <= F.col("size") * (1 - 2 * SIMILAR / (1 + SIMILAR)) + 1e-6)
+    need = (F.col("a_size") + F.col("b_size")) * (SIMILAR / (1 + SIMILAR)) - 1e-6
+    fits = (F.col("a_label") != F.col("b_label")) & (F.col("a_size") <= F.col("b_size")) & (F.col("a_size") - F.col("a_place") >= need) & (F.col("b_size") - F.col("b_place") >= need)
+    pair = F.least("a_row", "b_row").alias("a"), F.greatest("a_row", "b_row").alias("b")
+    meet = lambda small, large: named(small, "a").join(named(large, "b"), "element").where(fits).select(*pair)
+    return meet(short.where("label <> most"), heads).unionAll(meet(short.where("label = most"), heads.where("label <> most"))).distinct()
+
+
+def _linked(labels: DataFrame, pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """labels after the similar ones of the pairs are linked."""
+    at = lambda x: labels.select(F.col("row").alias(x), F.col("label").alias(f"{x}_label"))
+    links = verify(pairs, texts).join(at("a"), "a").join(at("b"), "b").select(F.col("a_label").alias("a"), F.col("b_label").alias("b"))
+    return _relabel(labels, materialize(links))
+
+
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(signed rows of docs: kept, row, text, ...; labels: row, label), both written tables."""
     packed = docs.select(F.struct(*docs.columns).alias("kept"), F.monotonically_increasing_id().alias("row"), F.col("text"))
@@ -231,12 +285,14 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         fresh = materialize(pairs.join(known, ["a", "b"], "left_anti"))
         if fresh.isEmpty():
             break
-        found = verify(fresh, texts)
-        at = lambda x: labels.select(F.col("row").alias(x), F.col("label").alias(f"{x}_label"))  # noqa: E731, B023
-        links = found.join(at("a"), "a").join(at("b"), "b").select(F.col("a_label").alias("a"), F.col("b_label").alias("b"))
-        labels = _relabel(labels, materialize(links))
+        labels = _linked(labels, fresh, texts)
         tried = materialize(known.unionAll(fresh))
 
+    known = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    fresh = materialize(candidates(members, labels, texts).join(known, ["a", "b"], "left_anti"))
+    if not fresh.isEmpty():
+        labels = _linked(labels, fresh, texts)
+
     of_first = firsts.join(labels, "row", "left").select("digest", F.coalesce("label", "row").alias("label"))
     labelled = worded.select("row", "digest").join(of_first, "digest").select("row", "label")
     alone = signed.where(~F.col("some")).select("row", F.col("row").alias("label"))

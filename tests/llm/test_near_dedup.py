@@ -82,6 +82,33 @@ def test_chains_and_groups(spark):
     assert same_classes(rows, brute(rows), got)
 
 
+def template_family():
+    """Texts of one template, similar by about 0.75, that meet in many buckets: (number of the pair, text); a pair is similar enough."""
+    draw = random.Random(5)
+    word = lambda: "".join(draw.choice("abcdefghij") for _ in range(6))
+    base, rows = [word() for _ in range(1000)], []
+    for n in range(100):
+        places = draw.sample(range(5, 995, 5), 24)
+        common = {p: word() for p in places[:4]}
+        for own in (places[4:14], places[14:]):
+            new = common | {p: word() for p in own}
+            rows.append((n, " ".join(new.get(p, w) for p, w in enumerate(base))))
+    draw.shuffle(rows)
+    return rows
+
+
+def test_template_family(spark):
+    rows = template_family()
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
+    got, pairs = {r.doc_id: r.class_id for r in near_duplicates(docs).collect()}, defaultdict(list)
+    for i, (n, text) in enumerate(rows):
+        pairs[n].append((i, multiset(text)))
+    for (i, a), (j, b) in pairs.values():
+        assert (a & b).total() >= SIMILAR * (a | b).total() and got[i] == got[j]
+    # Classes are not one: most texts of different pairs are not similar.
+    assert len(set(got.values())) >= 60
+
+
 def test_cases(hard, empty):
     got = near_duplicates(hard).collect()
     assert len(got) == hard.count()
