@@ -3,7 +3,9 @@
 Lines, and runs of consecutive lines, are normalised (lower case, words of letters, digits, dots) and compared with each
 template: 2 * |common bigrams| / (|bigrams| + |template's bigrams|), with multiplicity. A coefficient of `DICE` or
 more is only possible if the sizes lie within a factor of (2 - DICE) / DICE, and if a bigram is shared; both bounds
-prune templates and runs without loss. Runs are grown around lines that share a bigram with a template.
+prune templates and runs without loss. Runs are grown around lines that share a bigram with a template. Notices that share
+their lines with other words are found as windows of words, from any shared bigram to any other; a window gives way to a
+run or window of its own template, and to a closer match of another that it overlaps and that is not shorter.
 
 Defined cases: null and empty texts match nothing; a text's equal lines are reported each; when several runs around the
 same lines match one template the best one counts, then the first, then the shortest; repeated rows give repeated
@@ -13,7 +15,9 @@ results; extra columns are ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import Counter
+from math import ceil
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -78,8 +82,16 @@ class Templates:
             return found[i]
 
         anchors: dict[int, list[int]] = {}
+        starts, total, last = [], 0, ""
+        shared: dict[int, list[tuple[int, tuple[str, str]]]] = {}
         for i, line in enumerate(lines):
             ws = WORD.findall(line.lower())
+            starts.append(total)
+            if not self.words.isdisjoint(ws):
+                for p, g in enumerate(zip([last, *ws], ws, strict=False), total - 1):
+                    for t in self.having.get(g, ()):
+                        shared.setdefault(t, []).append((p, g))
+            total, last = total + len(ws), ws[-1] if ws else last
             if len(ws) > 1 and not self.words.isdisjoint(ws):
                 found[i] = own = Counter(zip(ws, ws[1:], strict=False))
                 for t in {t for g in own for t in self.having.get(g, ())}:
@@ -106,8 +118,37 @@ class Templates:
                 if taken.isdisjoint(range(first, end)):
                     taken.update(range(first, end))
                     out.append((name, -d, first, end))
+        starts.append(total)
+        spans = [(name, d, starts[first], starts[end]) for name, d, first, end in out]
+        for d, first, end, t in sorted(h for t, at in shared.items() for h in self.windows(t, at)):
+            name = self.own[t][0]
+            over = [m for m in spans if m[2] < end and first < m[3]]
+            if not any(m[0] == name or (m[1] > -d and m[3] - m[2] >= end - first) for m in over):
+                spans.append((name, -d, first, end))
+                out.append((name, -d, bisect_right(starts, first) - 1, bisect_right(starts, end - 1)))
         return out
 
+    def windows(self, t: int, at: list[tuple[int, tuple[str, str]]]) -> list[tuple[float, int, int, int]]:
+        """(-coefficient, first word, word after the last, t) of windows that begin and end with a shared bigram."""
+        _, want, n = self.own[t]
+        fewest, hits = ceil(self.fewest[t] - 1e-9), []
+        for i in range(len(at) - fewest + 1):
+            first = at[i][0]
+            # So many shared bigrams are needed within the largest admissible size.
+            if at[i + fewest - 1][0] - first + 1 > self.most[t]:
+                continue
+            used: Counter = Counter()
+            common = 0
+            for j in range(i, len(at)):
+                p, g = at[j]
+                if (size := p - first + 1) > self.most[t]:
+                    break
+                used[g] += 1
+                common += used[g] <= want[g]
+                if (d := 2 * common / (size + n)) >= self.least:
+                    hits.append((-d, first, p + 2, t))
+        return hits
+
     @staticmethod
     def joint(a: str, b: str) -> tuple[str, str] | None:
         """The bigram across a line break."""

@@ -34,6 +34,18 @@ def test_wrapped_templates_and_changes(spark):
     assert got[3].license == "mit-notice" and got[3].dice == 1.0
 
 
+def test_notices_within_lines():
+    found = lambda text: {(m[0], m[1], m[2], m[3]) for m in Templates(TEMPLATES, DICE).matches(text)}
+    assert found("first\nCopyright 2020 Foo Inc. All rights reserved.") == {("all-rights-reserved", 1.0, 1, 2)}
+    assert found("Licensed under the MIT License. See LICENSE for details.") == {("mit-notice-licensed", 1.0, 0, 1)}
+    for name, template in TEMPLATES.items():
+        prose = " ".join(f"word{i} of the" for i in range(60))
+        assert (name, 1.0, 0, 1) in found(f"{prose} {template} {prose}")
+        words = f"{prose} {template} {prose}".split()
+        cut = "\n".join(" ".join(words[i : i + 7]) for i in range(0, len(words), 7))
+        assert name in {m[0] for m in found(cut)}
+
+
 def test_cases(hard, empty):
     assert scan(hard).count() == 0 and scan(empty).count() == 0
     assert Templates({"none": "", "one": "word"}, DICE).matches("word") == []
