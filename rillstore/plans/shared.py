@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -31,9 +32,11 @@ def ship(spark: SparkSession) -> None:
 
 
 def folder(spark: SparkSession) -> str:
-    """Under spark.checkpoint.dir; a temporary folder only where that is unset, as in tests."""
+    """Under spark.checkpoint.dir; a temporary folder only where that is unset and all runs in one process, as in tests."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="rillstore"))
         named = spark.sparkContext.getCheckpointDir()
     return f"{named.rstrip('/')}/rillstore-{uuid.uuid4().hex}"
