@@ -16,9 +16,13 @@ still hold several classes are then searched completely, by an exact prefix filt
 All comparisons are exact, on the whole multisets. With 24 bands of 5 slots a pair at the threshold shares a bucket
 with probability 0.9999; a pair that does is never missed.
 
+The texts are read twice: for signatures, and for the grams of the documents that share a bucket, which are written and serve all
+comparisons.
+
 Defined cases: texts of one to four words are one gram of all their words; a null text or one without words is alone in its
-class; repeated rows are copies, doc_id need not be unique, and a class is named by its least doc_id (null if all
-are null); extra columns travel in a struct, so names can't clash; an empty table gives an empty result.
+class; a text of any length is compared whole, and a task holds one such text at a time; repeated rows are copies, doc_id need
+not be unique, and a class is named by its least doc_id (null if all are null); of rows with the same least doc_id the first row
+stays; extra columns travel in a struct, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .runtime import map_slices, materialize
+from .runtime import map_slices, materialize, packed
 
 #: Words of a gram, similarity of a link.
 WORDS, SIMILAR = 5, 0.8
@@ -38,8 +42,8 @@ WORDS, SIMILAR = 5, 0.8
 BANDS, SLOTS = 24, 5
 #: Rounds that compare witnesses of different classes in a bucket, before the buckets are searched completely.
 ROUNDS = 4
-#: A set of row numbers is broadcast up to this many rows (16 MB); beyond, the join is shuffled.
-BROADCAST_ROWS = 1_000_000
+#: A set of row numbers is broadcast up to this many rows (8 MB); beyond, the join is shuffled.
+BROADCAST_ROWS = 500_000
 
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -136,7 +140,7 @@ def _signed(batch: pa.RecordBatch) -> pa.RecordBatch:
     digest = pa.array([xxhash.xxh3_128_digest("\x20".join(ws).encode()) if ws else None for ws in texts], pa.binary())
     some = pa.array([bool(ws) for ws in texts])
     lists = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * BANDS, pa.int32()), pa.array(found.ravel(), pa.int64()))
-    return pa.RecordBatch.from_arrays([batch.column("kept"), batch.column("row"), batch.column("text"), digest, lists, some], names=["kept", "row", "text", "digest", "bands", "some"])
+    return pa.RecordBatch.from_arrays([batch.column("kept"), batch.column("row"), digest, lists, some], names=["kept", "row", "digest", "bands", "some"])
 
 
 def _gathered(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -158,9 +162,7 @@ def similarity(a: bytes, b: bytes) -> float:
 def _verified(batch: pa.RecordBatch) -> pa.RecordBatch:
     good = []
     for a, b in zip(batch.column("a_grams"), batch.column("b_grams"), strict=True):
-        a, b = a.as_py(), b.as_py()
-        # With sizes this far apart the similarity can't be reached.
-        good.append(min(len(a), len(b)) >= SIMILAR * max(len(a), len(b)) and similarity(a, b) >= SIMILAR)
+        good.append(similarity(a.as_py(), b.as_py()) >= SIMILAR)
     return batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
 
@@ -169,12 +171,11 @@ def _among(df: DataFrame, rows: DataFrame, how: str) -> DataFrame:
     return df.join(F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows, "row", how)
 
 
-def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) of rows whose texts are similar. Texts: row, text."""
-    wanted = pairs.select(F.col("a").alias("row")).unionAll(pairs.select(F.col("b").alias("row"))).distinct()
-    own = materialize(map_slices(_among(texts, materialize(wanted), "left_semi"), _gathered, "row long, grams binary"))
-    named = lambda x: own.select(F.col("row").alias(x), F.col("grams").alias(f"{x}_grams"))
-    return map_slices(pairs.join(named("a"), "a").join(named("b"), "b"), _verified, "a long, b long", "a_grams")
+def verify(pairs: DataFrame, own: DataFrame) -> DataFrame:
+    """The pairs (a, b) of rows whose grams are similar. own: row, grams, a written table."""
+    side = lambda x: own.select(F.col("row").alias(x), F.col("grams").alias(f"{x}_grams"))
+    near = F.least(F.octet_length("a_grams"), F.octet_length("b_grams")) >= SIMILAR * F.greatest(F.octet_length("a_grams"), F.octet_length("b_grams"))
+    return map_slices(pairs.join(side("a"), "a").join(side("b"), "b").where(near), _verified, "a long, b long", "a_grams")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -215,7 +216,7 @@ def _elements(batch: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([whole(rows, np.int64), whole(sizes, np.int32), whole(elements, np.int64)], names=["row", "size", "element"])
 
 
-def candidates(members: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFrame:
+def candidates(members: DataFrame, labels: DataFrame, own: DataFrame) -> DataFrame:
     """Pairs (a, b) of rows of different classes, among the buckets that still hold several: all that can be similar.
 
     With elements in one order, rarest first, the first common element of two similar texts lies within the first
@@ -227,8 +228,7 @@ def candidates(members: DataFrame, labels: DataFrame, texts: DataFrame) -> DataF
     # A bucket of two rows is done: the first round compared them.
     mixed = materialize(held.groupBy("band", "key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n")).where("low <> high and n > 2").select("band", "key"))
     rows = materialize(held.join(mixed, ["band", "key"]).select("row", "label").distinct())
-    own = map_slices(_among(texts, rows.select("row"), "left_semi"), _gathered, "row long, grams binary")
-    each = materialize(map_slices(own, _elements, "row long, size int, element long", "grams"))
+    each = materialize(map_slices(_among(own, rows.select("row"), "left_semi"), _elements, "row long, size int, element long", "grams"))
     often = materialize(each.groupBy("element").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     by_row = Window.partitionBy("row")
     # Elements of one row alone come first in every order; they only count.
@@ -238,27 +238,28 @@ def candidates(members: DataFrame, labels: DataFrame, texts: DataFrame) -> DataF
     of_class = heads.groupBy("element", "label").agg(F.count(F.lit(1)).alias("n"))
     most = of_class.groupBy("element").agg(F.max_by("label", F.struct("n", "label")).alias("most"), F.count(F.lit(1)).alias("classes")).where("classes > 1").drop("classes")
     heads = materialize(heads.join(materialize(most), "element"))
-    named = lambda df, x: df.select("element", *[F.col(c).alias(f"{x}_{c}") for c in ("row", "label", "size", "place")])
+    side = lambda df, x: df.select("element", *[F.col(c).alias(f"{x}_{c}") for c in ("row", "label", "size", "place")])
     short = heads.where(F.col("place") <= F.col("size") * (1 - 2 * SIMILAR / (1 + SIMILAR)) + 1e-6)
     need = (F.col("a_size") + F.col("b_size")) * (SIMILAR / (1 + SIMILAR)) - 1e-6
     fits = (F.col("a_label") != F.col("b_label")) & (F.col("a_size") <= F.col("b_size")) & (F.col("a_size") - F.col("a_place") >= need) & (F.col("b_size") - F.col("b_place") >= need)
     pair = F.least("a_row", "b_row").alias("a"), F.greatest("a_row", "b_row").alias("b")
-    meet = lambda small, large: named(small, "a").join(named(large, "b"), "element").where(fits).select(*pair)
+    meet = lambda small, large: side(small, "a").join(side(large, "b"), "element").where(fits).select(*pair)
     return meet(short.where("label <> most"), heads).unionAll(meet(short.where("label = most"), heads.where("label <> most"))).distinct()
 
 
-def _linked(labels: DataFrame, pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def _linked(labels: DataFrame, pairs: DataFrame, own: DataFrame) -> DataFrame:
     """labels after the similar ones of the pairs are linked."""
     at = lambda x: labels.select(F.col("row").alias(x), F.col("label").alias(f"{x}_label"))
-    links = verify(pairs, texts).join(at("a"), "a").join(at("b"), "b").select(F.col("a_label").alias("a"), F.col("b_label").alias("b"))
+    links = verify(pairs, own).join(at("a"), "a").join(at("b"), "b").select(F.col("a_label").alias("a"), F.col("b_label").alias("b"))
     return _relabel(labels, materialize(links))
 
 
-def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(signed rows of docs: kept, row, text, ...; labels: row, label), both written tables."""
-    packed = docs.select(F.struct(*docs.columns).alias("kept"), F.monotonically_increasing_id().alias("row"), F.col("text"))
-    schema = T.StructType([*packed.schema.fields, T.StructField("digest", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("some", T.BooleanType())])
-    signed = materialize(map_slices(packed, _signed, schema))
+def classes(docs: DataFrame, keep: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(signed rows of docs: kept, a struct of the columns of `keep`, row, ...; labels: row, label), both written tables."""
+    # The text is among the kept columns, so that it is written once.
+    taken = packed(docs, list(dict.fromkeys([*keep, "text"]))).withColumn("row", F.monotonically_increasing_id())
+    schema = T.StructType([taken.schema["kept"], taken.schema["row"], T.StructField("digest", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("some", T.BooleanType())])
+    signed = materialize(map_slices(taken, _signed, schema))
     worded = signed.where("some")
     firsts = materialize(worded.groupBy("digest").agg(F.min("row").alias("row"), F.count(F.lit(1)).alias("n")))
 
@@ -270,9 +271,11 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     shared = members.where("row <> centre").groupBy("row", "centre").agg(F.count(F.lit(1)).alias("n"))
     pairs = shared.groupBy("row").agg(F.max_by("centre", F.struct("n", -F.col("centre"))).alias("b")).select(F.col("row").alias("a"), "b")
     tried = materialize(pairs)
-    texts = signed.select("row", "text")
-    ids = materialize(members.select("row").distinct().select("row", F.col("row").alias("label")))
-    labels = _relabel(ids, materialize(verify(tried, texts)))
+    # Whatever meets in a bucket: its grams are written once, by row.
+    met = materialize(members.select("row").distinct())
+    own = materialize(map_slices(_among(signed.select("row", F.col("kept.text").alias("text")), met, "left_semi"), _gathered, "row long, grams binary"))
+    ids = materialize(met.select("row", F.col("row").alias("label")))
+    labels = _relabel(ids, materialize(verify(tried, own)))
 
     for turn in range(ROUNDS):
         # One witness of every class of a bucket meets a witness of the bucket's least or greatest class in turn.
@@ -284,14 +287,14 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         known = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         fresh = materialize(pairs.join(known, ["a", "b"], "left_anti"))
         if fresh.isEmpty():
-            break
-        labels = _linked(labels, fresh, texts)
+            continue  # the other end of the buckets may still give new pairs
+        labels = _linked(labels, fresh, own)
         tried = materialize(known.unionAll(fresh))
 
     known = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    fresh = materialize(candidates(members, labels, texts).join(known, ["a", "b"], "left_anti"))
+    fresh = materialize(candidates(members, labels, own).join(known, ["a", "b"], "left_anti"))
     if not fresh.isEmpty():
-        labels = _linked(labels, fresh, texts)
+        labels = _linked(labels, fresh, own)
 
     of_first = firsts.join(labels, "row", "left").select("digest", F.coalesce("label", "row").alias("label"))
     labelled = worded.select("row", "digest").join(of_first, "digest").select("row", "label")
@@ -301,20 +304,19 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     """One row per row of docs: doc_id, class_id (the least doc_id of its class), class_size."""
-    signed, labels = classes(docs)
-    named = signed.select("row", F.col(f"kept.`{doc_id}`").alias("doc_id")).join(labels, "row")
-    named = materialize(named)
+    signed, labels = classes(docs, [doc_id])
+    ids = materialize(signed.select("row", F.col("kept").getField(doc_id).alias("doc_id")).join(labels, "row"))
     # Written, so that the join below has exchanges of its own and a class of any size is split among tasks.
-    sizes = materialize(named.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size")))
-    return named.join(sizes, "label").select("doc_id", "class_id", "class_size")
+    sizes = materialize(ids.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size")))
+    return ids.join(sizes, "label").select("doc_id", "class_id", "class_size")
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     """The rows of docs, all columns, without all but one of each class: the least doc_id, then the first row, stays."""
-    signed, labels = classes(docs)
-    order = F.struct(F.col(f"kept.`{doc_id}`").isNull().alias("no"), F.col(f"kept.`{doc_id}`").alias("id"), F.col("row"))
-    named = materialize(signed.select("row", order.alias("rank")).join(labels, "row"))
+    signed, labels = classes(docs, docs.columns)
+    own = F.col("kept").getField(doc_id)
+    ranked = materialize(signed.select("row", F.struct(own.isNull().alias("no"), own.alias("id"), F.col("row")).alias("rank")).join(labels, "row"))
     # Written, so that the join below has exchanges of its own and a class of any size is split among tasks.
-    kept = materialize(named.groupBy("label").agg(F.min("rank").alias("rank"), F.count(F.lit(1)).alias("n")).where("n > 1"))
-    gone = named.select("label", "row").join(kept.select("label", F.col("rank.row").alias("first")), "label").where("row <> first").select("row")
+    kept = materialize(ranked.groupBy("label").agg(F.min("rank").alias("rank"), F.count(F.lit(1)).alias("n")).where("n > 1"))
+    gone = ranked.select("label", "row").join(kept.select("label", F.col("rank.row").alias("first")), "label").where("row <> first").select("row")
     return _among(signed.select("row", "kept"), materialize(gone), "left_anti").select("kept.*")

@@ -6,8 +6,8 @@ from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
-from pyspark.sql import types as T
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from ..plans.shared import folder, ship
 
@@ -23,9 +23,43 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def kept_and(df: DataFrame, keep: list[str], ddl: str) -> T.StructType:
-    """The schema of the columns of `keep`, as they are in df, followed by those of ddl."""
-    return T.StructType([df.schema[c] for c in keep] + T.StructType.fromDDL(ddl).fields)
+def named(name: str) -> Column:
+    """A column by its whole name, dots and quotes included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def packed(docs: DataFrame, keep: list[str], results: Iterable[str] = (), text: str = "text") -> DataFrame:
+    """(kept, text): the columns of `keep` in one struct, so that no name can clash with an operator's own.
+
+    A kept column with the name of a result is called kept_<name>.
+    """
+    own = [named(c).alias(f"kept_{c}" if c in set(results) else c) for c in keep]
+    return docs.select(F.struct(*(own or [F.lit(None).cast("string").alias("kept_nothing")])).alias("kept"), named(text).alias("text"))
+
+
+def unpacked(df: DataFrame, keep: list[str], *results: str) -> DataFrame:
+    """The kept columns, then the results."""
+    return df.select(*(["kept.*"] if keep else []), *results)
+
+
+def remainder(doc_id: Column) -> Column:
+    """crc32 of the id as text, modulo 3; a null id counts as an empty text."""
+    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 3
+
+
+def training_rows(docs: DataFrame, labels: DataFrame, label: str, most: int, held_out: int | None = 1) -> DataFrame:
+    """(text, label) of at most `most` labelled documents whose remainder isn't held_out, in order of a hash of the id.
+
+    The ids are chosen among labels that have a document with a text, so that absent documents don't shrink the sample.
+    """
+    allowed = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("int").alias(label))
+    if held_out is not None:
+        allowed = allowed.where(remainder(F.col("doc_id")) != held_out)
+    by_hash = (F.xxhash64(F.col("doc_id").cast("string")), F.col("doc_id"), F.col(label))
+    own = docs.select("doc_id", "text").where(F.col("text").isNotNull())
+    # Two numbers of at most `most` rows, so small enough to broadcast at any size of the corpus.
+    chosen = allowed.join(own.select("doc_id"), "doc_id", "left_semi").orderBy(*by_hash).limit(most)
+    return own.join(F.broadcast(chosen), "doc_id").orderBy(*by_hash, F.xxhash64("text")).limit(most).select("text", label)
 
 
 def slices(batches: Iterable[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

@@ -124,3 +124,49 @@ def test_short_and_repeated_gram_texts(spark):
     got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r.doc_id: r.class_id for r in got} == {1: 1, 2: 1, None: 1, 3: 3, 4: 4, 5: 4, 6: 6}
     assert near_dedup.similarity(np.array([1, 1, 2], np.uint64).tobytes(), np.array([1, 2, 2], np.uint64).tobytes()) == 0.5
+
+
+def crowded_template():
+    """150 pairs at 0.80 to 0.81 within one template, all other pairs at about 0.76."""
+    draw = random.Random(9)
+    word = lambda: "".join(draw.choice("abcdefghij") for _ in range(6))
+    base, rows = [word() for _ in range(1580)], []
+    places = list(range(5, 1575, 10))
+    for n in range(150):
+        common = {p: word() for p in draw.sample(places, 15)}
+        for _ in range(2):
+            new = common | {p: word() for p in draw.sample([p for p in places if p not in common], 9)}
+            rows.append((n, " ".join(new.get(p, w) for p, w in enumerate(base))))
+    draw.shuffle(rows)
+    return rows
+
+
+def similar_pairs(rows):
+    """All pairs of rows whose similarity reaches the threshold, by a matrix of the grams (each once in a text)."""
+    sets = [multiset(t) for _, t in rows]
+    ids = {g: i for i, g in enumerate(sorted(set().union(*sets)))}
+    there = np.zeros((len(rows), len(ids)), np.float32)
+    for i, s in enumerate(sets):
+        there[i, [ids[g] for g in s]] = 1
+    both, size = there @ there.T, there.sum(1)
+    return {(i, j) for i, j in zip(*np.nonzero(both >= SIMILAR * (size[:, None] + size[None, :] - both)), strict=True) if i < j}
+
+
+def test_crowded_template_loses_no_link(spark):
+    rows = crowded_template()
+    want = similar_pairs(rows)
+    assert want == {(i, j) for i in range(300) for j in range(i + 1, 300) if rows[i][0] == rows[j][0]}
+    got = {r.doc_id: r.class_id for r in near_duplicates(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")).collect()}
+    assert len(set(got.values())) == 150 and all(got[i] == got[j] for i, j in want)
+
+
+def test_shuffled_instead_of_broadcast(spark, documents, monkeypatch):
+    want = sorted(map(tuple, near_duplicates(documents).collect()))
+    monkeypatch.setattr(near_dedup, "BROADCAST_ROWS", 0)
+    assert sorted(map(tuple, near_duplicates(documents).collect())) == want
+
+
+def test_any_column_names(spark):
+    docs = spark.createDataFrame([(1, "one two three four five six", 1, 2, "x"), (2, "one two three four five six", 3, 4, "y")], "doc_id long, text string, `a.b` int, row long, `kept` string")
+    kept = keep_one(docs)
+    assert kept.columns == docs.columns and [tuple(r) for r in kept.collect()] == [(1, "one two three four five six", 1, 2, "x")]
