@@ -6,7 +6,9 @@ words that it lacks are merged exactly by the vocabulary's ranks. Decoding turns
 UTF-8. Ids equal those of the tokenizers library with add_special_tokens=False, special tokens in a text included.
 
 Defined cases: a null text is encoded as an empty one (no ids, empty decoded text); repeated rows are encoded
-alike; extra columns are ignored; an empty table gives an empty result and an empty lexicon.
+alike; a text, and a word, of any length is encoded whole; words of equal count enter the lexicon together or not at all, so with
+more than its limit of the same count it may be empty and all words are merged; a kept column with the name of a
+result is called kept_<name>; an empty table gives an empty result and an empty lexicon.
 """
 
 from __future__ import annotations
@@ -22,9 +24,10 @@ import regex
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .lexicon import Lexicon, compile_words, mapped
-from .runtime import kept_and, map_slices, materialize, ship
+from .runtime import map_slices, materialize, packed, ship, unpacked
 
 #: Words in the lexicon; the file then has a few MB, whatever the corpus's size.
 LEXICON_WORDS = 120_000
@@ -239,9 +242,8 @@ def encode(docs: DataFrame, keep: list[str], name: str = "byte_bpe_50k.json", le
     """The columns of `keep` and n_tokens, ids_sha256, decoded_sha256; with_ids adds ids and decoded."""
     ship(docs.sparkSession)
     lexicon = lexicon or build_lexicon(docs, name)
-    taken = docs.select(*keep, *([] if "text" in keep else ["text"]))
-    extra = ", ids array<int>, decoded string" if with_ids else ""
-    schema = kept_and(taken, keep, "n_tokens long, ids_sha256 string, decoded_sha256 string" + extra)
+    results = T.StructType.fromDDL("n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if with_ids else ""))
+    taken = packed(docs, keep, results.names)
 
     made: list[Encoder] = []
 
@@ -257,8 +259,8 @@ def encode(docs: DataFrame, keep: list[str], name: str = "byte_bpe_50k.json", le
             if with_ids:
                 ids.append(np.array(joined.split(","), np.int32) if joined else np.zeros(0, np.int32))
                 decoded.append(text)
-        arrays = [batch.column(c) for c in keep] + [pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
+        arrays = [batch.column("kept"), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
         arrays += [_lists(ids), pa.array(decoded, pa.string())] if with_ids else []
-        return pa.RecordBatch.from_arrays(arrays, names=[*keep, "n_tokens", "ids_sha256", "decoded_sha256", *(["ids", "decoded"] if with_ids else [])])
+        return pa.RecordBatch.from_arrays(arrays, names=["kept", *results.names])
 
-    return map_slices(taken, run, schema)
+    return unpacked(map_slices(taken, run, T.StructType([taken.schema["kept"], *results])), keep, *results.names)

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from . import bpe, decontaminate, licenses, near_dedup, oracle, quality_model, quality_rules, secrets, substring_dedup, token_files, toxicity
 
+from .runtime import remainder
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -19,7 +21,7 @@ def op1_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     count = lambda rank: F.size(F.filter("base", lambda s: s["rank"] == rank)).cast("long")
     return found.select(
         "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
-        F.sha2(secrets.text_of(F.col("base")), 256).alias("base_sha256"), secrets.text_of(F.col("spans")).alias("spans"), "n_owned", "n_copied")
+        F.sha2(secrets.text_of(F.col("base")), 256).alias("base_sha256"), secrets.text_of(F.col("spans")).alias("spans"), "n_owned", "n_copied", "most_owners", "most_repos")
 
 
 def op2_license_dice(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,7 +65,7 @@ def op10_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     scored = toxicity.score(docs, model, ["doc_id"])
-    return scored.select("doc_id", (toxicity.remainder(F.col("doc_id")) == 1).alias("held_out"), "score", "predicted")
+    return scored.select("doc_id", (remainder(F.col("doc_id")) == 1).alias("held_out"), "score", "predicted")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

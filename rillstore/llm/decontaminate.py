@@ -6,12 +6,15 @@ distance. Candidate windows come from CGK random walks: a walk reads a string by
 stays or advances, by a shared random function of step and byte; near strings give walks that agree in most steps.
 Each repetition has its own walk and samples a few steps of it as a hash; windows that share a hash with an item of
 their size class are verified exactly. Windows are first thinned without loss: k edits spoil at most k * GRAM of an
-item's GRAM-grams, so a matching window holds at least n - GRAM + 1 - k * GRAM of them.
+item's GRAM-grams, so a matching window holds at least n - GRAM + 1 - k * GRAM of them. Items for which that asks for no
+gram, those below 20 bytes, have size classes of their own, for which no window is thinned.
 
-Walks sample more steps near their start, where fewer edits lie behind; test_decontaminate.py measures the recall.
+Walks sample more steps near their start, where fewer edits lie behind; test_decontaminate.py measures the recall up to the
+radius itself.
 
-Defined cases: null and empty texts and items match nothing; a size class with items below `GRAM` bytes isn't
-thinned; equal items are all reported; repeated rows give repeated results; a null doc_id is carried along; extra columns are ignored; empty tables give an empty result.
+Defined cases: null and empty texts and items match nothing; equal items are all reported, each with its least edits and, of
+ties, the first window; a text of any length is searched whole; repeated rows give repeated results; a null doc_id is carried
+along; a kept column with the name of a result is called kept_<name>, others are ignored; empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -24,8 +27,9 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .runtime import kept_and, map_slices, ship
+from .runtime import map_slices, packed, ship, unpacked
 
 #: Edits that a match may have, as a share of the item's length; the gram of the lossless thinning.
 EDITS, GRAM = 0.06, 10
@@ -86,16 +90,16 @@ class Index:
             self.seen[(_grams(np.frombuffer(t, np.uint8)) >> np.uint64(42)).astype(np.int64)] = True
         self.most = [int(EDITS * n) for n in sizes]
         # Size classes are 1.2 apart; each walk of a class reads about four fifths of its smallest item.
-        self.classes: dict[int, list[int]] = {}
-        for at, n in enumerate(sizes):
-            self.classes.setdefault(int(np.log(n) / np.log(1.2)), []).append(at)
+        # An item that can lose all its grams is in a class of its own kind, so that it doesn't weaken others.
+        self.classes: dict[tuple[int, bool], list[int]] = {}
+        for at, n in enumerate(sizes.tolist()):
+            self.classes.setdefault((int(np.log(n) / np.log(1.2)), self.grams_left(n) > 0), []).append(at)
         draw = np.random.default_rng(20)
         self.plan = []
         for members in self.classes.values():
-            # Bytes that a match of this class spans at most, and grams that it holds at least; none are asked for below GRAM bytes.
+            # Bytes that a match of this class spans at most, and grams that it holds at least.
             longest = max(len(self.items[m][1]) + self.most[m] for m in members)
-            needed = max(1, min(len(self.items[m][1]) - GRAM + 1 - self.most[m] * GRAM for m in members))
-            needed = 0 if any(len(self.items[m][1]) < GRAM for m in members) else needed
+            needed = max(0, min(self.grams_left(len(self.items[m][1])) for m in members))
             steps = max(1, int(1.6 * min(len(self.items[m][1]) for m in members)))
             picks = (draw.random((WALKS, HASHES, SAMPLED)) ** 1.5 * steps).astype(np.int64)
             self.plan.append((members, picks, longest, needed))
@@ -111,6 +115,11 @@ class Index:
                         table.setdefault(bytes((r, h)) + row.tobytes(), []).append(m)
             self.tables.append(table)
 
+    @staticmethod
+    def grams_left(n: int) -> int:
+        """Grams of an item of n bytes that as many edits as it may have leave at least; 0 or less: none for sure."""
+        return n - GRAM + 1 - int(EDITS * n) * GRAM
+
     def _walks(self, texts: list[bytes]) -> list[np.ndarray]:
         flat = np.frombuffer(b"".join(texts), np.uint8)
         size = np.array([len(t) for t in texts], np.int64)
@@ -198,42 +207,46 @@ def _index(key: str, shared: Broadcast) -> Index:
     return _INDEXES[key]
 
 
-def leaks(docs: DataFrame, items: DataFrame, keep: list[str], most: int = BLOCK_BYTES) -> DataFrame:
-    """One row per row of docs and item that it leaks: the columns of `keep`, item_id, edits, place (in the normalised text)."""
+def _searched(docs: DataFrame, items: DataFrame, most: int, schema: T.StructType, pick) -> DataFrame:
+    """docs through one search after the other, one for each block of items; pick makes a batch's result of its matches."""
     ship(docs.sparkSession)
-    taken = docs.select(*keep, *([] if "text" in keep else ["text"]))
-    schema = kept_and(taken, keep, "item_id long, edits int, place int")
-    out = None
     for block in blocks(items.select(F.col("item_id").cast("long").alias("item_id"), "text"), most):
         shared = docs.sparkSession.sparkContext.broadcast(block)  # at most about `most` bytes
-
         key = hashlib.sha256(repr(block).encode()).hexdigest()
 
         def run(batch: pa.RecordBatch, shared=shared, key=key) -> pa.RecordBatch:
             index = _index(key, shared)
-            found = index.search(batch.column("text").to_pylist())
-            rows = pa.array([n for n, *_ in found], pa.int64())
-            arrays = [*(batch.column(c).take(rows) for c in keep), pa.array([index.items[m][0] for _, m, _, _ in found], pa.int64())]
-            arrays += [pa.array([d for _, _, d, _ in found], pa.int32()), pa.array([p for *_, p in found], pa.int32())]
-            return pa.RecordBatch.from_arrays(arrays, names=[*keep, "item_id", "edits", "place"])
+            return pick(batch, index, index.search(batch.column("text").to_pylist()))
+
+        yield lambda df, run=run: map_slices(df, run, schema)
+
+
+def leaks(docs: DataFrame, items: DataFrame, keep: list[str], most: int = BLOCK_BYTES) -> DataFrame:
+    """One row per row of docs and item that it leaks: the columns of `keep`, item_id, edits, place (in the normalised text)."""
+    results = T.StructType.fromDDL("item_id long, edits int, place int")
+    taken = packed(docs, keep, results.names)
 
-        found = map_slices(taken, run, schema)
+    def pick(batch: pa.RecordBatch, index: Index, found: list[tuple]) -> pa.RecordBatch:
+        kept = batch.column("kept").take(pa.array([n for n, *_ in found], pa.int64()))
+        arrays = [kept, pa.array([index.items[m][0] for _, m, _, _ in found], pa.int64())]
+        arrays += [pa.array([d for _, _, d, _ in found], pa.int32()), pa.array([p for *_, p in found], pa.int32())]
+        return pa.RecordBatch.from_arrays(arrays, names=["kept", *results.names])
+
+    out = None
+    for search in _searched(docs, items, most, T.StructType([taken.schema["kept"], *results]), pick):
+        found = search(taken)
         out = found if out is None else out.unionAll(found)
-    return out
+    return unpacked(out, keep, *results.names)
 
 
-def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
+def clean(docs: DataFrame, items: DataFrame, most: int = BLOCK_BYTES) -> DataFrame:
     """The rows of docs, all columns, that leak no item."""
-    ship(docs.sparkSession)
-    out = docs
-    for block in blocks(items.select(F.col("item_id").cast("long").alias("item_id"), "text"), BLOCK_BYTES):
-        shared = docs.sparkSession.sparkContext.broadcast(block)
-
-        key = hashlib.sha256(repr(block).encode()).hexdigest()
+    taken = packed(docs, docs.columns)
 
-        def run(batch: pa.RecordBatch, shared=shared, key=key) -> pa.RecordBatch:
-            bad = {n for n, *_ in _index(key, shared).search(batch.column("text").to_pylist())}
-            return batch.filter(pa.array([i not in bad for i in range(batch.num_rows)], pa.bool_()))
+    def pick(batch: pa.RecordBatch, index: Index, found: list[tuple]) -> pa.RecordBatch:
+        bad = {n for n, *_ in found}
+        return batch.filter(pa.array([i not in bad for i in range(batch.num_rows)], pa.bool_()))
 
-        out = map_slices(out, run, out.schema)
-    return out
+    for search in _searched(docs, items, most, taken.schema, pick):
+        taken = search(taken)
+    return taken.select("kept.*")

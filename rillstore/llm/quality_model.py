@@ -1,33 +1,37 @@
 """Quality classifier: ordinal cumulative-link regression on hashed text.
 
 P(grade <= k) = sigmoid(threshold_k - weights . x): one weight vector for all grades, and ordered thresholds (the
-first is free, the others add exp of a step). x holds hashed words, word pairs' shapes, repeated neighbours and layout,
-as shares of their kind, plus coarse length buckets. A text gets its expected grade and the probability of at least
+first is free, the others add exp of a step). x holds hashed words and shapes of words, as shares of the text's words, and
+buckets of length, of repeated neighbours, of distinct words, of line length and of symbols. A text gets its expected grade and the probability of at least
 the grade asked for.
 
-At most `TRAIN_ROWS` labelled rows are used for the fit (those with the least hashes of doc_id); scores cover all rows.
+At most `TRAIN_ROWS` labelled rows of at most `TRAIN_LENGTH` characters are used for the fit, those with the least hashes of
+doc_id; the driver keeps their features only, at most one number for each bucket. Scores cover all rows and whole texts.
 
 Defined cases: a null or empty text has only the bucket of no words; without labelled rows of two grades every
 text gets the one grade there is (0 without any) and probability 1; rows with a null grade or doc_id don't train; repeated rows
-score alike; extra columns are ignored; an empty table gives an empty result.
+score alike; of equal hashes the lower doc_id comes first; a very long text counts whole; extra columns are ignored; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import map_slices, ship
+from .runtime import TRAIN_LENGTH, map_slices, ship, training_rows
 
-#: The most labelled rows for the fit, and the most characters of text that it gathers.
+#: The most labelled rows for the fit.
 TRAIN_ROWS = 4_000
-TRAIN_CHARS = 40_000_000
+#: Weight of the penalty on the weights.
+PENALTY = 2e-4
 #: Hash buckets; passes over the sample; the least probability of the grade asked for at which a text is kept.
 BUCKETS, STEPS, KEEP = 1 << 16, 120, 0.5
 
@@ -88,63 +92,58 @@ class Model:
         return np.diff(edges, axis=1)
 
 
-def fit_rows(rows: list[tuple[str | None, int]]) -> Model:
+def loss(params: np.ndarray, doc: np.ndarray, at: np.ndarray, value: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray]:
+    """Mean negative log-likelihood with the penalty, and its gradient. params: weights, first threshold, logs of the steps."""
+    w, raw = params[:BUCKETS], params[BUCKETS:]
+    k, n = len(raw), len(y)
+    thresholds = np.cumsum(np.r_[raw[0], np.exp(raw[1:])])
+    x = np.bincount(doc, w[at] * value, n)
+    below = np.hstack([np.zeros((n, 1)), 1 / (1 + np.exp(-np.clip(thresholds[None, :] - x[:, None], -30, 30))), np.ones((n, 1))])
+    each = np.arange(n)
+    upper, lower = below[each, y + 1], below[each, y]
+    p = np.maximum(upper - lower, 1e-9)
+    up, down = upper * (1 - upper) / p, lower * (1 - lower) / p
+    dx = (up - down) / n  # by the linear score
+    dt = np.bincount(y, -up / n, k + 1)[:k] + np.bincount(y, down / n, k + 1)[1:]
+    tail = np.cumsum(dt[::-1])[::-1]
+    grad = np.concatenate([np.bincount(at, dx[doc] * value, BUCKETS) + PENALTY * w, tail[:1], tail[1:] * np.exp(raw[1:])])
+    return float(-np.log(p).mean() + PENALTY * (w @ w) / 2), grad
+
+
+def merged(at: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Entries of one bucket as one."""
+    key, inverse = np.unique(at, return_inverse=True)
+    return key.astype(np.int32), np.bincount(inverse, value)
+
+
+def fit_rows(rows: Iterable[tuple[str | None, int]]) -> Model:
     """Adam on the mean log-likelihood with a small penalty on the weights; the same rows give the same model."""
-    grades = tuple(sorted({g for _, g in rows})) or (0,)
+    own, found, given = Features(), [], []
+    for text, grade in rows:  # one text at a time
+        found.append(merged(*own.text(text)))
+        given.append(grade)
+    grades = tuple(sorted(set(given))) or (0,)
     if len(grades) < 2:
         return Model(grades, np.zeros(0), np.zeros(BUCKETS))
-    own = Features()
-    found = [own.text(t) for t, _ in rows]
-    doc = np.repeat(np.arange(len(rows)), [len(a) for a, _ in found])
+    doc = np.repeat(np.arange(len(found)), [len(a) for a, _ in found])
     at, value = np.concatenate([a for a, _ in found]), np.concatenate([v for _, v in found])
-    # Entries of one bucket and document are one.
-    key, inverse = np.unique(doc * BUCKETS + at, return_inverse=True)
-    doc, at, value = key // BUCKETS, key % BUCKETS, np.bincount(inverse, value)
-    y = np.searchsorted(grades, [g for _, g in rows])
+    y = np.searchsorted(grades, given)
     k = len(grades) - 1
     shares = np.clip(np.cumsum(np.bincount(y, minlength=k + 1))[:-1] / len(y), 1e-3, 1 - 1e-3)
     first = np.log(shares / (1 - shares))
     params = np.concatenate([np.zeros(BUCKETS), first[:1], np.log(np.maximum(np.diff(first), 1e-2))])
     m, v = np.zeros_like(params), np.zeros_like(params)
-    each = np.arange(len(y))
     for step in range(1, STEPS + 1):
-        w, raw = params[:BUCKETS], params[BUCKETS:]
-        thresholds = np.cumsum(np.r_[raw[0], np.exp(raw[1:])])
-        x = np.bincount(doc, w[at] * value, len(y))
-        below = np.hstack([np.zeros((len(y), 1)), 1 / (1 + np.exp(-np.clip(thresholds[None, :] - x[:, None], -30, 30))), np.ones((len(y), 1))])
-        upper, lower = below[each, y + 1], below[each, y]
-        p = np.maximum(upper - lower, 1e-9)
-        up, down = upper * (1 - upper) / p, lower * (1 - lower) / p
-        dx = (up - down) / len(y)  # gradient of the loss by the linear score
-        dt = np.bincount(y, -up / len(y), k + 1)[:k] + np.bincount(y, down / len(y), k + 1)[1:]
-        tail = np.cumsum(dt[::-1])[::-1]
-        grad = np.concatenate([np.bincount(at, dx[doc] * value, BUCKETS) + 2e-4 * w, tail[:1], tail[1:] * np.exp(raw[1:])])
+        _, grad = loss(params, doc, at, value, y)
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         params = params - 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     raw = params[BUCKETS:]
     return Model(grades, np.cumsum(np.r_[raw[0], np.exp(raw[1:])]), params[:BUCKETS])
 
 
-def remainder(doc_id: Column) -> Column:
-    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 3
-
-
-def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS, held_out: int | None = 1) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS, length: int = TRAIN_LENGTH, held_out: int | None = 1) -> Model:
     """Fit on at most `most` labelled rows, a bounded sample by hash; rows of the held-out remainder don't train."""
-    allowed = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull())
-    if held_out is not None:
-        allowed = allowed.where(remainder(F.col("doc_id")) != held_out)
-    by_hash = (F.xxhash64(F.col("doc_id").cast("string")), F.col("doc_id"), F.col("quality"))
-    # At most `most` rows of two numbers, so small enough to broadcast at any size of the corpus.
-    chosen = allowed.select("doc_id", F.col("quality").cast("int").alias("quality")).orderBy(*by_hash).limit(most)
-    joined = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id").orderBy(*by_hash, F.xxhash64("text")).limit(most)
-    rows, chars = [], 0
-    for r in joined.select("text", "quality").toLocalIterator():
-        chars += len(r.text)
-        if chars > TRAIN_CHARS:
-            break
-        rows.append((r.text, r.quality))
-    return fit_rows(rows)
+    return fit_rows((r.text, r.quality) for r in training_rows(docs, labels, "quality", most, length, held_out).toLocalIterator())
 
 
 def score(docs: DataFrame, model: Model, at_least: int | None = None, keep: float = KEEP) -> DataFrame:

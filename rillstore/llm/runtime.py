@@ -13,6 +13,8 @@ from ..plans.shared import folder, ship
 
 #: Bytes of text that a Python task handles at a time, unless one text alone is longer.
 SLICE_BYTES = 2_000_000
+#: Characters that a labelled text may have to take part in a fit; longer ones are left out of the sample, whose size is so bounded.
+TRAIN_LENGTH = 100_000
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -47,16 +49,17 @@ def remainder(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 3
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str, most: int, held_out: int | None = 1) -> DataFrame:
-    """(text, label) of at most `most` labelled documents whose remainder isn't held_out, in order of a hash of the id.
+def training_rows(docs: DataFrame, labels: DataFrame, label: str, most: int, length: int = TRAIN_LENGTH, held_out: int | None = 1) -> DataFrame:
+    """(text, label) of at most `most` labelled documents, in order of a hash of the id; none whose remainder is held_out.
 
-    The ids are chosen among labels that have a document with a text, so that absent documents don't shrink the sample.
+    The ids are chosen among labels that have a document with a text of at most `length` characters, so that absent
+    documents and long ones don't shrink the sample.
     """
     allowed = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("int").alias(label))
     if held_out is not None:
         allowed = allowed.where(remainder(F.col("doc_id")) != held_out)
     by_hash = (F.xxhash64(F.col("doc_id").cast("string")), F.col("doc_id"), F.col(label))
-    own = docs.select("doc_id", "text").where(F.col("text").isNotNull())
+    own = docs.select("doc_id", "text").where(F.char_length("text") <= length)
     # Two numbers of at most `most` rows, so small enough to broadcast at any size of the corpus.
     chosen = allowed.join(own.select("doc_id"), "doc_id", "left_semi").orderBy(*by_hash).limit(most)
     return own.join(F.broadcast(chosen), "doc_id").orderBy(*by_hash, F.xxhash64("text")).limit(most).select("text", label)

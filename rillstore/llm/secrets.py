@@ -2,12 +2,14 @@
 
 Base kinds find spans by pattern. The method then hashes every candidate value (base values and long mixed
 tokens), counts the distinct repositories and owners in which each hash occurs over the whole corpus, and calls
-a candidate `copied` when more than `max_owners` owners have it, else `owned`. Mixed tokens that are owned are
+a candidate `copied` when more than `max_owners` owners or more than `max_repos` repositories have it, else `owned`:
+an example that one owner has pasted into many repositories is no live credential. Mixed tokens that are owned are
 added as spans of kind `owned`; base spans always stay.
 
 Defined cases: a null text is scanned as an empty one; a null repository or owner counts as one unnamed value;
-repeated rows are separate rows, and doc_id need not be unique or non-null; extra columns are ignored; an empty
-table gives an empty result.
+repeated rows are separate rows, and doc_id need not be unique or non-null; spans of one start are in the order of the kinds;
+texts of any length are scanned whole, in time that grows with the square of the matches in one text; extra columns are ignored,
+and a kept column with the name of a result is called kept_<name>; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import materialize
+from .runtime import materialize, named, packed, unpacked
 
 # The patterns of the base kinds. Group 2 of `assign` is the value.
 ASSIGN = (
@@ -77,22 +79,26 @@ def ownership(candidates: DataFrame) -> DataFrame:
     return by_owner.groupBy("hash").agg(F.count(F.lit(1)).alias("n_owners"), F.sum("repos").alias("n_repos"), F.sum("n").alias("n_seen"))
 
 
-def scan(docs: DataFrame, keep: list[str], repo: str = "source", max_owners: int = 1) -> DataFrame:
-    """One row per row of docs: the columns of `keep`, base (spans), spans (all), n_owned, n_copied.
+#: Owners and repositories that an owned value may have at most.
+MAX_OWNERS, MAX_REPOS = 1, 5
+RESULTS = ("base", "spans", "n_owned", "n_copied", "most_owners", "most_repos")
 
-    The owner is the part of the repository's name before the first slash. Columns of `keep` must not have the
-    names of the results; redact() takes any.
+
+def scan(docs: DataFrame, keep: list[str], repo: str = "source", max_owners: int = MAX_OWNERS, max_repos: int = MAX_REPOS) -> DataFrame:
+    """One row per row of docs: the columns of `keep`, base (spans), spans (all), n_owned, n_copied, most_owners, most_repos.
+
+    The owner is the part of the repository's name before the first slash. The last two are the most owners and repositories
+    that any candidate of the text has, 0 without candidates.
     """
-    return _scan(docs, keep, repo, max_owners).select("kept.*", "base", "spans", "n_owned", "n_copied")
+    return unpacked(_scan(docs, keep, repo, max_owners, max_repos, RESULTS), keep, *RESULTS)
 
 
-def _scan(docs: DataFrame, keep: list[str], repo: str, max_owners: int) -> DataFrame:
-    """As scan(), with the columns of `keep` in a struct, so that their names can't clash."""
-    text = F.coalesce(F.col("text"), F.lit(""))
+def _scan(docs: DataFrame, keep: list[str], repo: str, max_owners: int, max_repos: int, results: tuple[str, ...] = ()) -> DataFrame:
+    """As scan(), with the columns of `keep` in a struct."""
     # The repository's name is a plain string here; a null is an empty one.
-    name = F.coalesce(F.col(repo).cast("string"), F.lit(""))
-    kept = F.struct(*[F.col(c) for c in keep])
-    found = docs.select(kept.alias("kept"), name.alias("repo"), text.alias("text"))
+    name = F.coalesce(named(repo).cast("string"), F.lit(""))
+    found = packed(docs.withColumn("_repo_of_scan", name), [*keep, "_repo_of_scan"], results)
+    found = found.select(F.col("kept").dropFields("_repo_of_scan").alias("kept") if keep else F.struct(F.lit(0).alias("nothing")).alias("kept"), F.col("kept._repo_of_scan").alias("repo"), F.coalesce("text", F.lit("")).alias("text"))
     found = found.select("kept", "repo", "text", base_spans(F.col("text")).alias("base"))
     found = found.select("kept", "repo", "base", mixed_tokens(F.col("text"), F.col("base")).alias("mixed"))
     found = materialize(found.withColumn("row", F.monotonically_increasing_id()))
@@ -100,22 +106,23 @@ def _scan(docs: DataFrame, keep: list[str], repo: str, max_owners: int) -> DataF
     each = found.where((F.size("base") > 0) | (F.size("mixed") > 0)).select(
         "row", "repo", F.substring_index("repo", "/", 1).alias("owner"), F.explode(F.concat("base", "mixed")).alias("span"))
     each = each.withColumn("hash", F.sha2(F.col("span.value"), 256))
-    owners = ownership(each.select("hash", "owner", "repo"))
-    judged = each.select("row", "hash", "span").join(owners, "hash").withColumn("owned", F.col("n_owners") <= max_owners)
+    # Written, so that the join has exchanges of its own and a value in a third of all rows is split among tasks.
+    owners = materialize(ownership(each.select("hash", "owner", "repo")))
+    judged = each.select("row", "hash", "span").join(owners, "hash").withColumn("owned", (F.col("n_owners") <= max_owners) & (F.col("n_repos") <= max_repos))
     by_row = judged.groupBy("row").agg(
-        F.count_if("owned").alias("n_owned"), F.count_if(~F.col("owned")).alias("n_copied"),
+        F.count_if("owned").alias("n_owned"), F.count_if(~F.col("owned")).alias("n_copied"), F.max("n_owners").alias("most_owners"), F.max("n_repos").alias("most_repos"),
         F.collect_list(F.when(F.col("owned") & (F.col("span.rank") == 3), F.col("span"))).alias("added"))
     out = found.join(by_row, "row", "left")
     none = F.expr(f"cast(array() as array<{SPAN}>)")
     return out.select(
         "kept", "base", F.array_sort(F.concat("base", F.coalesce("added", none))).alias("spans"),
-        F.coalesce("n_owned", F.lit(0)).alias("n_owned"), F.coalesce("n_copied", F.lit(0)).alias("n_copied"))
+        *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in RESULTS[2:]])
 
 
-def redact(docs: DataFrame, mark: str = "[secret]", repo: str = "source", max_owners: int = 1) -> DataFrame:
+def redact(docs: DataFrame, mark: str = "[secret]", repo: str = "source", max_owners: int = MAX_OWNERS, max_repos: int = MAX_REPOS) -> DataFrame:
     """Replace every span of the scan in the texts; n_chars, if there, follows. Columns and rows stay."""
     cols = docs.columns
-    found = _scan(docs, cols, repo, max_owners)
+    found = _scan(docs, cols, repo, max_owners, max_repos)
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
@@ -130,5 +137,5 @@ def redact(docs: DataFrame, mark: str = "[secret]", repo: str = "source", max_ow
     changed = {"text": F.col("new")}
     if "n_chars" in cols:
         kind = dict(docs.dtypes)["n_chars"]
-        changed["n_chars"] = F.when(F.size("spans") > 0, F.char_length("new").cast(kind)).otherwise(F.col("kept.n_chars"))
-    return out.select(*[changed.get(c, F.col(f"kept.`{c}`")).alias(c) for c in cols])
+        changed["n_chars"] = F.when(F.size("spans") > 0, F.char_length("new").cast(kind)).otherwise(F.col("kept").getField("n_chars"))
+    return out.select(*[changed.get(c, F.col("kept").getField(c)).alias(c) for c in cols])

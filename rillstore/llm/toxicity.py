@@ -1,18 +1,24 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained on labelled text: one on the windows of ordinary text, one on the toxic
-windows, those around words that toxic documents have far more often than ordinary ones. Every window of a text is
+Two zstandard dictionaries are trained on labelled text, one on ordinary and one on toxic text. Every window of a text is
 compressed with the ordinary dictionary and with the toxic one put in front of it; the bytes that the toxic one
-saves are the window's excess. Ordinary words on which the toxic dictionary still saves bytes go into the ordinary one, so that
-shared word parts cancel out. A window without any `GRAM` consecutive bytes of the toxic dictionary's content can save a byte
-or two at most; its excess counts as 0 and it isn't compressed. A logistic curve, calibrated on labelled rows that neither dictionary has seen, turns
+saves are the window's excess. A logistic curve, calibrated on labelled rows that neither dictionary has seen, turns
 the excesses of a text into a score from 0 to 1.
 
-At most `TRAIN_ROWS` labelled rows are used for the fit (those with the least hashes of doc_id); scores cover all rows.
+What the dictionaries are trained on: the toxic one on the telling words of toxic documents, in their order, those words and
+beginnings of words that toxic documents have far more often than ordinary ones; the ordinary one on all other words. A
+toxic dictionary of whole windows also holds the ordinary words beside the telling ones, and these save bytes by chance:
+the README has the figures of both. Ordinary words on which the toxic dictionary still saves bytes go into the ordinary
+one, so that shared word parts cancel out. A window without any `GRAM` consecutive bytes of the toxic dictionary's content
+can save a byte or two at most; its excess counts as 0 and it isn't compressed.
+
+At most `TRAIN_ROWS` labelled rows of at most `TRAIN_LENGTH` characters are used for the fit, those with the least hashes of
+doc_id; scores cover all rows and whole texts.
 
 Defined cases: a null or empty text has no windows and gets the score of a text without excess; without labelled
-rows of both kinds every score is 0; repeated rows score alike; a null label is no label; a null doc_id counts as an
-empty text when its remainder is taken; extra columns are ignored; an empty table gives an empty result.
+rows of both kinds every score is 0; a very long text is scored whole, window by window; repeated rows score alike; of equal
+hashes the lower doc_id comes first; a null label is no label; a null doc_id counts as an empty text when its remainder is
+taken; a kept column with the name of a result is called kept_<name>; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,14 +30,13 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
-from .runtime import kept_and, map_slices, ship
+from .runtime import TRAIN_LENGTH, map_slices, packed, ship, training_rows, unpacked
 
-#: The most labelled rows for the fit, and the most characters of text that it gathers.
+#: The most labelled rows for the fit.
 TRAIN_ROWS = 4_000
-TRAIN_CHARS = 40_000_000
 #: Words in a window, bytes of the dictionaries, and the compression level.
 WINDOW, ORDINARY_BYTES, HARD_BYTES, TOXIC_BYTES, LEVEL, GRAM = 4, 8_192, 8_192, 4_096, 19, 6
 #: The score from which a text counts as toxic.
@@ -75,7 +80,7 @@ def telling_words(toxic: list[list[str]], ordinary: list[list[str]]) -> set[str]
         p = (a + b) / (len(toxic) + len(ordinary))
         z = (a / len(toxic) - b / len(ordinary)) / np.sqrt(p * (1 - p) * (1 / len(toxic) + 1 / len(ordinary)) + 1e-12)
         ratio = (a / len(toxic)) / ((b + 0.5) / len(ordinary))
-        if a >= max(5, len(toxic) / 100) and z > 6 and ratio > (20 if g.endswith("*") else 8):
+        if a >= max(2, len(toxic) / 100) and z > 6 and ratio > (20 if g.endswith("*") else 8):
             out.add(g)
     return out
 
@@ -194,47 +199,34 @@ def fit_rows(rows: list[tuple[str | None, int]]) -> Model:
     return model
 
 
-def remainder(doc_id: Column) -> Column:
-    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 3
-
-
-def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS, length: int = TRAIN_LENGTH) -> Model:
     """Fit on at most `most` labelled rows whose crc32 remainder isn't 1: a bounded sample by hash, gathered at the driver."""
-    allowed = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (remainder(F.col("doc_id")) != 1))
-    by_hash = (F.xxhash64(F.col("doc_id").cast("string")), F.col("doc_id"), F.col("toxic"))
-    # At most `most` rows of two numbers, so small enough to broadcast at any size of the corpus.
-    chosen = allowed.select("doc_id", F.col("toxic").cast("int").alias("toxic")).orderBy(*by_hash).limit(most)
-    own = docs.select("doc_id", "text").where(F.col("text").isNotNull())
-    joined = own.join(F.broadcast(chosen), "doc_id").orderBy(*by_hash, F.xxhash64("text")).limit(most)
-    rows, chars = [], 0
-    for r in joined.select("text", "toxic").toLocalIterator():
-        chars += len(r.text)
-        if chars > TRAIN_CHARS:
-            break
-        rows.append((r.text, int(r.toxic > 0)))
-    return fit_rows(rows)
+    return fit_rows([(r.text, int(r.toxic > 0)) for r in training_rows(docs, labels, "toxic", most, length).toLocalIterator()])
 
 
 SCHEMA = "score double, predicted int"
 
 
-def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """The columns of `keep` with score and predicted. The model has a few ten KB."""
+def _score(docs: DataFrame, model: Model, keep: list[str], results: tuple[str, ...] = ()) -> DataFrame:
     ship(docs.sparkSession)
-    taken = docs.select(*keep, *([] if "text" in keep else ["text"]))
+    taken = packed(docs, keep, results)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = kept_and(taken, keep, SCHEMA)
+    schema = T.StructType([taken.schema["kept"], *T.StructType.fromDDL(SCHEMA)])
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        own = shared.value
-        scores = [own.score(t) for t in batch.column("text").to_pylist()]
-        arrays = [*(batch.column(c) for c in keep), pa.array(scores, pa.float64()), pa.array([int(s >= THRESHOLD) for s in scores], pa.int32())]
-        return pa.RecordBatch.from_arrays(arrays, names=[*keep, "score", "predicted"])
+        scores = list(map(shared.value.score, batch.column("text").to_pylist()))
+        arrays = [batch.column("kept"), pa.array(scores, pa.float64()), pa.array([int(s >= THRESHOLD) for s in scores], pa.int32())]
+        return pa.RecordBatch.from_arrays(arrays, names=["kept", "score", "predicted"])
 
     return map_slices(taken, run, schema)
 
 
+def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
+    """The columns of `keep` with score and predicted. The model has a few ten KB."""
+    results = ("score", "predicted")
+    return unpacked(_score(docs, model, keep, results), keep, *results)
+
+
 def reject(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of docs, all columns, that don't count as toxic; the whole row travels in one struct, so names can't clash."""
-    packed = docs.select(F.struct(*docs.columns).alias("kept"), "text").select("kept", F.col("text"))
-    return score(packed, model, ["kept"]).where(F.col("predicted") == 0).select("kept.*")
+    """The rows of docs, all columns, that don't count as toxic."""
+    return _score(docs, model, docs.columns).where("predicted = 0").select("kept.*")

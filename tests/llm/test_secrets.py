@@ -46,6 +46,21 @@ def test_ownership_separates_copied_from_owned(hard):
     assert got[10].spans == [] and got[10].n_copied == 1  # two owners
 
 
+def test_repositories_count_too(spark):
+    """A token in many repositories of one owner is an example, one in few is owned."""
+    rows = [(i, "key K9xkZp03LmQwR7tYvB2nXc81", f"org/repo{i}") for i in range(secrets.MAX_REPOS + 1)] + [(100 + i, "key A9xkZp03LmQwR7tYvB2nXc99", f"org/repo{i}") for i in range(secrets.MAX_REPOS)]
+    got = secrets.scan(spark.createDataFrame(rows, "doc_id long, text string, source string"), ["doc_id"]).collect()
+    assert {r.doc_id < 100: (r.n_owned, r.n_copied, len(r.spans), r.most_owners, r.most_repos) for r in got} == {True: (0, 1, 0, 1, secrets.MAX_REPOS + 1), False: (1, 0, 1, 1, secrets.MAX_REPOS)}
+
+
+def test_clashing_and_odd_names(spark):
+    docs = spark.createDataFrame([(1, "secret = abcdef1", "o/r", 3, "b", 7)], "doc_id long, text string, source string, `a.b` int, base string, kept int")
+    got = secrets.scan(docs, ["doc_id", "a.b", "base", "kept"])
+    assert got.columns == ["doc_id", "a.b", "kept_base", "kept", *secrets.RESULTS] and got.first()["kept_base"] == "b"
+    left = secrets.redact(docs)
+    assert left.columns == docs.columns and left.first().text == "[secret]" and left.first()["a.b"] == 3
+
+
 def test_redact_keeps_rows_and_columns(hard):
     got = secrets.redact(hard)
     assert got.columns == hard.columns and got.count() == hard.count()
