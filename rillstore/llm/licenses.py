@@ -1,15 +1,16 @@
 """License scan: Dice coefficient of word bigrams against licence templates.
 
-Lines, and runs of consecutive lines, are normalised (lower case, words of letters, digits, dots) and compared with each
+The templates are notices, headers and short licences (`TEMPLATES`) and the whole texts in the folder license_texts. Lines, and runs of consecutive lines, are normalised (lower case, words of letters, digits, dots) and compared with each
 template: 2 * |common bigrams| / (|bigrams| + |template's bigrams|), with multiplicity. A coefficient of `DICE` or
 more is only possible if the sizes lie within a factor of (2 - DICE) / DICE, and if a bigram is shared; both bounds
-prune templates and runs without loss. Runs are grown around lines that share a bigram with a template. Notices that share
+prune templates and runs without loss: a text with fewer words than a match of a template needs, or with fewer bigrams in
+common with it, is not compared with it. Runs are grown around lines that share a bigram with a template. Notices that share
 their lines with other words are found as windows of words, from any shared bigram to any other; a window gives way to a
 run or window of its own template, and to a closer match of another that it overlaps and that is not shorter.
 
 Defined cases: null and empty texts match nothing; a text's equal lines are reported each; when several runs around the
 same lines match one template the best one counts, then the first, then the shortest; repeated rows give repeated
-results; extra columns are ignored; an empty table gives an empty result.
+results; a text of any length is scanned whole; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -17,15 +18,19 @@ from __future__ import annotations
 import re
 from bisect import bisect_right
 from collections import Counter
+from importlib import resources
 from math import ceil
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .runtime import map_slices
 
-#: The least coefficient of a match.
-DICE = 0.85
+#: The least coefficient of a match; bigrams that a match of a long template has at least.
+DICE, LONG = 0.85, 400
+#: Bigrams of the largest template that is compared with runs of whole lines; larger ones have windows of words only.
+RUNS = 60
 
 # Notices and texts of public licences.
 TEMPLATES = {
@@ -45,9 +50,25 @@ TEMPLATES = {
     "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
 }
 
+SHORT = {
+    "bsd-2-clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    "unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    "zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
+}
+
 WORD = re.compile(r"[^\W_]+(?:\.[^\W_]+)*")
 
 
+def whole_texts() -> dict[str, str]:
+    """The licences of the folder license_texts by file name; read at the driver."""
+    found = (resources.files(__package__) / "license_texts").iterdir()
+    return {f.name.removesuffix(".txt"): f.read_text(encoding="utf-8") for f in sorted(found, key=lambda f: f.name) if f.name.endswith(".txt")}
+
+
+def all_templates() -> dict[str, str]:
+    return TEMPLATES | SHORT | whole_texts()
+
+
 def bigrams(text: str) -> Counter:
     ws = WORD.findall(text.lower())
     return Counter(zip(ws, ws[1:], strict=False))
@@ -62,18 +83,23 @@ class Templates:
     def __init__(self, texts: dict[str, str], least: float):
         self.least = least
         self.own = [(name, b, b.total()) for name, b in ((n, bigrams(t)) for n, t in texts.items()) if b]
-        self.having: dict[tuple[str, str], list[int]] = {}
-        for i, (_, b, _) in enumerate(self.own):
-            for g in b:
-                self.having.setdefault(g, []).append(i)
-        # A line without any of these words shares no bigram.
-        self.words = {w for g in self.having for w in g}
         self.most = [n * (2 - least) / least for *_, n in self.own]
         self.fewest = [n * least / (2 - least) for *_, n in self.own]
+        # By the words that a text needs: what short templates have, and what all have.
+        self.tiers = [(need, *self._having([i for i, f in enumerate(self.fewest) if f <= limit])) for need, limit in ((0, LONG), (LONG, float("inf")))]
+
+    def _having(self, members: list[int]) -> tuple[dict[tuple[str, str], list[int]], set[str]]:
+        having: dict[tuple[str, str], list[int]] = {}
+        for i in members:
+            for g in self.own[i][1]:
+                having.setdefault(g, []).append(i)
+        # A line without any of these words shares no bigram.
+        return having, {w for g in having for w in g}
 
     def matches(self, text: str) -> list[tuple[str, float, int, int]]:
         """(template, coefficient, first line, line after the last) of the best run of each template around each anchor."""
         lines = text.split("\n")
+        _, having, known = next(t for t in reversed(self.tiers) if len(text) >= 2 * t[0])
         found: dict[int, Counter | None] = {}
 
         def of(i: int) -> Counter:
@@ -87,17 +113,21 @@ class Templates:
         for i, line in enumerate(lines):
             ws = WORD.findall(line.lower())
             starts.append(total)
-            if not self.words.isdisjoint(ws):
+            if not known.isdisjoint(ws):
                 for p, g in enumerate(zip([last, *ws], ws, strict=False), total - 1):
-                    for t in self.having.get(g, ()):
+                    for t in having.get(g, ()):
                         shared.setdefault(t, []).append((p, g))
             total, last = total + len(ws), ws[-1] if ws else last
-            if len(ws) > 1 and not self.words.isdisjoint(ws):
+            if len(ws) > 1 and not known.isdisjoint(ws):
                 found[i] = own = Counter(zip(ws, ws[1:], strict=False))
-                for t in {t for g in own for t in self.having.get(g, ())}:
+                for t in {t for g in own for t in having.get(g, ())}:
                     anchors.setdefault(t, []).append(i)
         out = []
+        # A match has at least as many bigrams in common with the template as the least admissible size.
+        shared = {t: at for t, at in shared.items() if len(at) >= ceil(self.fewest[t] - 1e-9)}
         for t, at in sorted(anchors.items()):
+            if t not in shared or self.own[t][2] > RUNS:
+                continue
             name, want, _ = self.own[t]
             hits = []
             anchored = set(at)
@@ -129,24 +159,33 @@ class Templates:
         return out
 
     def windows(self, t: int, at: list[tuple[int, tuple[str, str]]]) -> list[tuple[float, int, int, int]]:
-        """(-coefficient, first word, word after the last, t) of windows that begin and end with a shared bigram."""
+        """(-coefficient, first word, word after the last, t) of the best window from each shared bigram to another."""
         _, want, n = self.own[t]
-        fewest, hits = ceil(self.fewest[t] - 1e-9), []
-        for i in range(len(at) - fewest + 1):
-            first = at[i][0]
-            # So many shared bigrams are needed within the largest admissible size.
-            if at[i + fewest - 1][0] - first + 1 > self.most[t]:
-                continue
-            used: Counter = Counter()
-            common = 0
-            for j in range(i, len(at)):
-                p, g = at[j]
-                if (size := p - first + 1) > self.most[t]:
-                    break
-                used[g] += 1
-                common += used[g] <= want[g]
-                if (d := 2 * common / (size + n)) >= self.least:
-                    hits.append((-d, first, p + 2, t))
+        fewest = ceil(self.fewest[t] - 1e-9)
+        if len(at) < fewest:
+            return []
+        places = np.array([p for p, _ in at])
+        number: dict[tuple[str, str], int] = {}
+        gram = np.array([number.setdefault(g, len(number)) for _, g in at])
+        most = np.array([want[g] for g in number])[gram]
+        # Which occurrence of its bigram each is, over the whole text.
+        order = np.argsort(gram, kind="stable")
+        first_of = np.r_[0, np.flatnonzero(np.diff(gram[order])) + 1]
+        nth = np.empty(len(gram), np.int64)
+        nth[order] = np.arange(len(gram)) - np.repeat(first_of, np.diff(np.r_[first_of, len(gram)]))
+        before, hits = np.zeros(len(number), np.int64), []
+        # So many shared bigrams are needed within the largest admissible size.
+        some = places[fewest - 1 :] - places[: len(at) - fewest + 1] + 1 <= self.most[t]
+        last = np.searchsorted(places, places + self.most[t])
+        for i in range(len(at)):
+            if i < len(some) and some[i]:
+                own = slice(i, last[i])
+                common = np.cumsum(nth[own] - before[gram[own]] < most[own])
+                d = 2 * common / (places[own] - places[i] + 1 + n)
+                j = int(d.argmax())
+                if d[j] >= self.least:
+                    hits.append((-float(d[j]), int(places[i]), int(places[i + j]) + 2, t))
+            before[gram[i]] += 1
         return hits
 
     @staticmethod
@@ -158,7 +197,7 @@ class Templates:
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float = DICE) -> DataFrame:
     """One row per match: doc_id, license, dice, first_line, end_line (exclusive; lines count from 0)."""
-    texts = templates or TEMPLATES
+    texts = templates or all_templates()
     made: list[Templates] = []
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
