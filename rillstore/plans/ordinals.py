@@ -1,52 +1,42 @@
-"""Dense ordinals without sending a whole group to one task.
+"""Dense ordinals without sending a whole group, or all rows, to one task.
 
-row_number over an unpartitioned window sorts all rows in one task, and a hot stream does the same to its own. Here the
-order column is cut at a few quantiles; rows are numbered within (group, slice), and offsets of the slices, a few rows for
-each group, are added.
+row_number over an unpartitioned window sorts all rows in one task, and a hot stream does the same to its own. Here rows are
+dealt by ranges of their whole order, group first, sorted within their partition and written; their places there are dense, so an ordinal is the
+place within the partition plus the rows of the group in the partitions before. Only those counts, one row for each group and
+partition, are summed up in a window.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Slices of the order column for at least this many rows each, and at most so many.
-ROWS_A_SLICE, MOST_SLICES = 200_000, 512
+from .shared import folder
 
-
-def as_number(df: DataFrame, name: str) -> Column:
-    """A number that rises (weakly) with the column: itself, or the first six bytes of a string or binary."""
-    kind = dict(df.dtypes)[name]
-    if kind in ("string", "binary"):
-        head = F.rpad(F.hex(F.substring(F.col(name).cast("binary"), 1, 6)), 12, "0")
-        return F.conv(head, 16, 10).cast("double")
-    return F.col(name).cast("double")
-
-
-def slice_of(x: Column, cuts: list[float], first: int = 0) -> Column:
-    """How many of the sorted cuts are at most x, by halving."""
-    if not cuts:
-        return F.lit(first)
-    mid = len(cuts) // 2
-    return F.when(x < F.lit(float(cuts[mid])), slice_of(x, cuts[:mid], first)).otherwise(slice_of(x, cuts[mid + 1 :], first + mid + 1))
+#: Rows of a partition; up to so many rows, one window does.
+ROWS_A_TASK = 200_000
 
 
 def numbered(df: DataFrame, order: list[str], group: list[str] = (), name: str = "rn", start: int = 1) -> DataFrame:
     """df with dense ordinals within each group by the order columns, which must be unique within it."""
     group = list(group)
-    place = as_number(df, order[0])
-    # Sizes are needed before the plan is chosen: one pass over the order column alone.
-    rows, = df.agg(F.count(F.lit(1))).first()
-    slices = min(MOST_SLICES, rows // ROWS_A_SLICE)
-    by = [F.col(c) for c in order]
-    if slices < 2:
-        return df.withColumn(name, F.row_number().over(W.partitionBy(*group).orderBy(*by)).cast("long") + (start - 1))
-    at = df.agg(F.percentile_approx(place, [i / slices for i in range(1, slices)], 10_000)).first()[0]
-    cut = df.withColumn("_slice", slice_of(F.coalesce(place, F.lit(float("-inf"))), sorted(set(at))))
-    counts = cut.groupBy(*group, "_slice").agg(F.count(F.lit(1)).alias("_n"))
-    before = W.partitionBy(*group).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
-    offsets = counts.select(*group, "_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    own = F.row_number().over(W.partitionBy(*group, "_slice").orderBy(*by)).cast("long")
-    out = cut.withColumn("_own", own).join(offsets, [*group, "_slice"])
-    return out.select(*df.columns, (F.col("_own") + F.col("_before") + (start - 1)).alias(name))
+    # The size is needed before the plan is chosen: one pass without columns.
+    rows = df.select(F.lit(1)).count()
+    if rows <= ROWS_A_TASK:
+        return df.withColumn(name, F.row_number().over(W.partitionBy(*group).orderBy(*order)).cast("long") + (start - 1))
+    spark, path = df.sparkSession, folder(df.sparkSession)
+    by = [*group, *order]
+    dealt = df.repartitionByRange(-(-rows // ROWS_A_TASK), *by).sortWithinPartitions(*by)
+    # The upper bits are the partition, the lower ones the place of the row in it.
+    placed = dealt.withColumn("_id", F.monotonically_increasing_id())
+    placed.write.parquet(path)
+    placed = spark.read.schema(placed.schema).parquet(path).withColumn("_part", F.shiftright("_id", 33)).withColumn("_place", F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)))
+    counts = placed.groupBy(*group, "_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_place").alias("_first"))
+    before = W.partitionBy(*group).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    shift = (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift")
+    shifts = counts.select(*[F.col(c).alias(f"_g_{c}") for c in group], F.col("_part").alias("_p"), shift)
+    same = F.col("_part") == F.col("_p")
+    for c in group:
+        same = same & F.col(c).eqNullSafe(F.col(f"_g_{c}"))
+    return placed.join(shifts, same).select(*df.columns, (F.col("_place") + F.col("_shift") + start).alias(name))

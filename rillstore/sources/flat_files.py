@@ -7,6 +7,7 @@ one task, as its index lies at its end.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +17,8 @@ from ..plans.shared import ship
 
 # The file kinds by number.
 KINDS = {1: "manifest", 2: "log", 3: "table"}
+#: Entries of a batch.
+ENTRIES = 10_000
 
 
 def varint(raw: bytes, at: int) -> tuple[int, int]:
@@ -98,14 +101,16 @@ def read_entries(spark: SparkSession, path: str, kind: str = "table") -> DataFra
     def run(batches):
         for batch in batches:
             for number, raw in zip(batch.column("number").to_pylist(), batch.column("content"), strict=True):
-                found = list(decode(raw.as_py()))
-                yield pa.RecordBatch.from_arrays([pa.array([number] * len(found), pa.int64()), pa.array(range(len(found)), pa.int64()), pa.array([k for k, _ in found], pa.binary()), pa.array([v for _, v in found], pa.binary())], names=["number", "place", "key", "value"])
+                entries, at = decode(raw.as_py()), 0
+                while found := list(islice(entries, ENTRIES)):
+                    yield pa.RecordBatch.from_arrays([pa.array([number] * len(found), pa.int64()), pa.array(range(at, at + len(found)), pa.int64()), pa.array([k for k, _ in found], pa.binary()), pa.array([v for _, v in found], pa.binary())], names=["number", "place", "key", "value"])
+                    at += len(found)
 
     return _files(spark, path, "*.olog" if kind == "table" else "*.ulog").mapInArrow(run, "number long, place long, key binary, value binary")
 
 
-def read_manifests(spark: SparkSession, path: str) -> DataFrame:
-    """(number, version, is_add, kind, file) of the edits of all manifests under a path."""
+def read_manifests(spark: SparkSession, path: str, highest: bool = True) -> DataFrame:
+    """(number, version, is_add, kind, file) of the edits of the highest manifest under a path, the one that counts, or of all."""
     def run(batches):
         for batch in batches:
             for number, raw in zip(batch.column("number").to_pylist(), batch.column("content"), strict=True):
@@ -113,4 +118,8 @@ def read_manifests(spark: SparkSession, path: str) -> DataFrame:
                 arrays = [pa.array([number] * len(found), pa.int64()), *(pa.array([f[i] for f in found], t) for i, t in enumerate((pa.int64(), pa.bool_(), pa.string(), pa.int64())))]
                 yield pa.RecordBatch.from_arrays(arrays, names=["number", "version", "is_add", "kind", "file"])
 
-    return _files(spark, path, "*.manifest").mapInArrow(run, "number long, version long, is_add boolean, kind string, file long")
+    files = _files(spark, path, "*.manifest")
+    if highest:
+        # Names only: contents aren't read for this.
+        files = files.join(F.broadcast(files.agg(F.max("number").alias("number"))), "number")
+    return files.select("number", "content").mapInArrow(run, "number long, version long, is_add boolean, kind string, file long")

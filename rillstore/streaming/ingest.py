@@ -44,7 +44,7 @@ class EventLog:
         """Records (stream, seq, type, data) in order of seq; nothing happens if the tag is committed already."""
         if self.manifest.seen(tag):
             return
-        version, known = self.manifest.state()
+        known = self.manifest.state()[1]
         ends = self.ends(known)
         out = streams.append(batch.select("stream", "seq", "type", "data"), ends=ends).select("stream", "n", "seq", "type", "data")
         records, lengths = f"records-{uuid.uuid4().hex}", f"ends-{uuid.uuid4().hex}"
@@ -55,9 +55,9 @@ class EventLog:
         merge = len(old) >= MERGE_ENDS
         (own.unionByName(ends).groupBy("stream").agg(F.max("length").alias("length")) if merge else own).write.parquet(f"{self.path}/{lengths}")
 
-        def add(_: dict) -> list[dict]:
-            # Ordinals were given on top of `version`; another append since then would make them clash.
-            if self.manifest.state()[0] != version:
+        def add(now: dict[str, dict]) -> list[dict]:
+            # Ordinals were given on top of these lengths; another append since then would make them clash.
+            if self._files(now, "ends") != old:
                 raise ValueError("another writer has appended; append again")
             gone = [{"action": "remove", "file": f} for f in old] if merge else []
             return [*gone, {"action": "add", "file": records, "kind": "records", "tag": tag}, {"action": "add", "file": lengths, "kind": "ends"}]
@@ -65,6 +65,24 @@ class EventLog:
         self.manifest.commit(add)
 
 
+    def merge(self, buckets: int | None = None) -> None:
+        """Merge all record files into one run in order of stream and ordinal; records that arrive meanwhile stay beside it."""
+        seen = self._files(self.manifest.state()[1], "records")
+        if len(seen) < 2:
+            return
+        name = f"records-{uuid.uuid4().hex}"
+        by = ["stream", "n"]
+        own = self._read(seen, SCHEMA)
+        (own.repartitionByRange(*by) if buckets is None else own.repartitionByRange(buckets, *by)).sortWithinPartitions(*by).write.parquet(f"{self.path}/{name}")
+
+        def swap(now: dict[str, dict]) -> list[dict]:
+            if not set(seen) <= set(now):
+                raise ValueError("the merged records are gone; another merge was first")
+            return [{"action": "remove", "file": f} for f in seen] + [{"action": "add", "file": name, "kind": "records"}]
+
+        self.manifest.commit(swap)
+
+
 def ingest(events: DataFrame, log: EventLog, checkpoint: str, name: str = "ingest"):
     """Start a query that appends a streaming DataFrame (stream, seq, type, data) to the log, as much as there is now."""
     def one(batch: DataFrame, number: int) -> None:

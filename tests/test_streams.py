@@ -54,6 +54,17 @@ def test_lengths_are_merged(spark, tmp_path, monkeypatch):
     assert sum(a["kind"] == "ends" for a in log.manifest.state()[1].values()) < 4
 
 
+def test_records_are_merged(spark, tmp_path):
+    log = EventLog(spark, f"file://{tmp_path}/log")
+    for i in range(4):
+        log.append(spark.createDataFrame([("a", 10 * i + j, "t", "{}") for j in range(3)], SCHEMA), f"b-{i}")
+    before = sorted(map(tuple, log.read().collect()))
+    log.merge()
+    assert sorted(map(tuple, log.read().collect())) == before and len(log._files(log.manifest.state()[1], "records")) == 1
+    log.append(spark.createDataFrame([("a", 99, "t", "{}")], SCHEMA), "b-4")
+    assert sorted(r.n for r in log.read().collect()) == list(range(13))
+
+
 def test_windows_of_event_time(spark, tmp_path):
     rows = spark.sql("SELECT 'a' AS stream, timestamp'2024-01-01 01:00:00' + make_interval(0, 0, 0, cast(id AS int)) AS ts FROM range(3)")
     rows.write.parquet(f"file://{tmp_path}/in")
@@ -133,3 +144,6 @@ def test_flat_manifests(spark, tmp_path):
     from rillstore.plans.manifest import replay
     left = replay(got.where("kind = 'table'").select("version", "file", "is_add")).collect()
     assert [r.file for r in left] == [300] and got.count() == 4
+    (tmp_path / "000002.manifest").write_bytes(framed(ids() + ids() + ids((3, 7)) + ids()))
+    assert [r.file for r in flat_files.read_manifests(spark, f"file://{tmp_path}").collect()] == [7]
+    assert flat_files.read_manifests(spark, f"file://{tmp_path}", highest=False).count() == 5
