@@ -277,6 +277,7 @@ def classes(docs: DataFrame, keep: list[str]) -> tuple[DataFrame, DataFrame]:
     ids = materialize(met.select("row", F.col("row").alias("label")))
     labels = _relabel(ids, materialize(verify(tried, own)))
 
+    idle = 0
     for turn in range(ROUNDS):
         # One witness of every class of a bucket meets a witness of the bucket's least or greatest class in turn.
         pick, other = (F.min, F.max) if turn % 2 == 0 else (F.max, F.min)
@@ -286,8 +287,11 @@ def classes(docs: DataFrame, keep: list[str]) -> tuple[DataFrame, DataFrame]:
         pairs = pairs.select(F.least("row", "hub.row").alias("a"), F.greatest("row", "hub.row").alias("b")).distinct()
         known = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         fresh = materialize(pairs.join(known, ["a", "b"], "left_anti"))
-        if fresh.isEmpty():
-            continue  # the other end of the buckets may still give new pairs
+        idle = idle + 1 if fresh.isEmpty() else 0
+        if idle == 2:  # neither end of the buckets gives new pairs
+            break
+        if idle:
+            continue
         labels = _linked(labels, fresh, own)
         tried = materialize(known.unionAll(fresh))
 
