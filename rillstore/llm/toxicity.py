@@ -80,7 +80,7 @@ def telling_words(toxic: list[list[str]], ordinary: list[list[str]]) -> set[str]
         p = (a + b) / (len(toxic) + len(ordinary))
         z = (a / len(toxic) - b / len(ordinary)) / np.sqrt(p * (1 - p) * (1 / len(toxic) + 1 / len(ordinary)) + 1e-12)
         ratio = (a / len(toxic)) / ((b + 0.5) / len(ordinary))
-        if a >= max(2, len(toxic) / 100) and z > 6 and ratio > (20 if g.endswith("*") else 8):
+        if a >= max(min(5, len(toxic)), len(toxic) / 100) and z > 6 and ratio > (20 if g.endswith("*") else 8):
             out.add(g)
     return out
 
