@@ -10,7 +10,7 @@ time and a slot, a slot keeps its earliest time, and a process stops as soon as
 of two documents agree with the probability of their weighted Jaccard similarity.
 
 Copies are folded first. Then signatures are banded; documents of a bucket are compared with a centre of the bucket,
-never with each other in all pairs, first each with the centre that shares most bands, then, in rounds, one witness
+never with each other in all pairs, first each with the centre that shares most bands, then, in two rounds, one witness
 of every class in a bucket with a witness of another. The rounds only join most classes cheaply: rows of buckets that
 still hold several classes are then searched completely, by an exact prefix filter on their grams (`candidates`).
 All comparisons are exact, on the whole multisets. With 24 bands of 5 slots a pair at the threshold shares a bucket
@@ -41,7 +41,7 @@ WORDS, SIMILAR = 5, 0.8
 #: Bands of a signature and slots of a band.
 BANDS, SLOTS = 24, 5
 #: Rounds that compare witnesses of different classes in a bucket, before the buckets are searched completely.
-ROUNDS = 4
+ROUNDS = 2
 #: A set of row numbers is broadcast up to this many rows (8 MB); beyond, the join is shuffled.
 BROADCAST_ROWS = 500_000
 
@@ -251,7 +251,7 @@ def _linked(labels: DataFrame, pairs: DataFrame, own: DataFrame) -> DataFrame:
     """labels after the similar ones of the pairs are linked."""
     at = lambda x: labels.select(F.col("row").alias(x), F.col("label").alias(f"{x}_label"))
     links = verify(pairs, own).join(at("a"), "a").join(at("b"), "b").select(F.col("a_label").alias("a"), F.col("b_label").alias("b"))
-    return _relabel(labels, materialize(links))
+    return _relabel(labels, links)
 
 
 def classes(docs: DataFrame, keep: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -275,9 +275,8 @@ def classes(docs: DataFrame, keep: list[str]) -> tuple[DataFrame, DataFrame]:
     met = materialize(members.select("row").distinct())
     own = materialize(map_slices(_among(signed.select("row", F.col("kept.text").alias("text")), met, "left_semi"), _gathered, "row long, grams binary"))
     ids = materialize(met.select("row", F.col("row").alias("label")))
-    labels = _relabel(ids, materialize(verify(tried, own)))
+    labels = _relabel(ids, verify(tried, own))
 
-    idle = 0
     for turn in range(ROUNDS):
         # One witness of every class of a bucket meets a witness of the bucket's least or greatest class in turn.
         pick, other = (F.min, F.max) if turn % 2 == 0 else (F.max, F.min)
@@ -287,10 +286,7 @@ def classes(docs: DataFrame, keep: list[str]) -> tuple[DataFrame, DataFrame]:
         pairs = pairs.select(F.least("row", "hub.row").alias("a"), F.greatest("row", "hub.row").alias("b")).distinct()
         known = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         fresh = materialize(pairs.join(known, ["a", "b"], "left_anti"))
-        idle = idle + 1 if fresh.isEmpty() else 0
-        if idle == 2:  # neither end of the buckets gives new pairs
-            break
-        if idle:
+        if fresh.isEmpty():
             continue
         labels = _linked(labels, fresh, own)
         tried = materialize(known.unionAll(fresh))
