@@ -11,8 +11,10 @@ of two documents agree with the probability of their weighted Jaccard similarity
 
 Copies are folded first. Then signatures are banded; documents of a bucket are compared with a centre of the bucket,
 never with each other in all pairs, first each with the centre that shares most bands, then, in two rounds, one witness
-of every class in a bucket with a witness of another. The rounds only join most classes cheaply: rows of buckets that
-still hold several classes are then searched completely, by an exact prefix filter on their grams (`candidates`).
+of every class in a bucket with a witness of another. Rows of buckets that still hold several classes are searched by an exact
+prefix filter on their grams: where they meet, each class's most central text is first compared with the most central of all
+(`central`), which joins the copies of one text to it by one pair each, and what is left is then searched completely (`candidates`).
+The rounds only join most classes cheaply.
 All comparisons are exact, on the whole multisets. With 24 bands of 5 slots a pair at the threshold shares a bucket
 with probability 0.9999; a pair that does is never missed.
 
@@ -42,6 +44,8 @@ WORDS, SIMILAR = 5, 0.8
 BANDS, SLOTS = 24, 5
 #: Rounds that compare witnesses of different classes in a bucket, before the buckets are searched completely.
 ROUNDS = 2
+#: Rounds that compare classes with the most central text they share rare grams with, before the search is complete.
+CENTRAL_ROUNDS = 2
 #: A set of row numbers is broadcast up to this many rows (8 MB); beyond, the join is shuffled.
 BROADCAST_ROWS = 500_000
 
@@ -216,35 +220,60 @@ def _elements(batch: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([whole(rows, np.int64), whole(sizes, np.int32), whole(elements, np.int64)], names=["row", "size", "element"])
 
 
-def candidates(members: DataFrame, labels: DataFrame, own: DataFrame) -> DataFrame:
-    """Pairs (a, b) of rows of different classes, among the buckets that still hold several: all that can be similar.
+def heads(members: DataFrame, labels: DataFrame, own: DataFrame) -> DataFrame:
+    """(row, size, mass, element, place), written: where texts of the buckets that still hold several classes have to meet if they are similar.
 
     With elements in one order, rarest first, the first common element of two similar texts lies within the first
-    size - need + 1 of both, where need is the least overlap that reaches the similarity. The smaller text then has it in a
-    shorter head than the larger, so texts that share less than the threshold with each other, as those of a
-    template do, meet nowhere. A class that holds most rows of an element is never compared with itself.
+    size - need + 1 of both, where need is the least overlap that reaches the similarity. Elements that the very same rows
+    have come one after the other in all of them, so the first stands for all. mass: how many rows have an element of
+    the row, on average; the text that a group's texts are copies of has more than they.
     """
     held = materialize(members.select("band", "key", "row").join(labels, "row"))
     # A bucket of two rows is done: the first round compared them.
     mixed = materialize(held.groupBy("band", "key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n")).where("low <> high and n > 2").select("band", "key"))
-    rows = materialize(held.join(mixed, ["band", "key"]).select("row", "label").distinct())
-    each = materialize(map_slices(_among(own, rows.select("row"), "left_semi"), _elements, "row long, size int, element long", "grams"))
-    often = materialize(each.groupBy("element").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    rows = materialize(held.join(mixed, ["band", "key"]).select("row").distinct())
+    each = materialize(map_slices(_among(own, rows, "left_semi"), _elements, "row long, size int, element long", "grams"))
+    # 128 bits stand for the set of rows that have the element.
+    same = F.bit_xor(F.xxhash64("row")).alias("same"), F.bit_xor(F.xxhash64("row", F.lit(1))).alias("same_too")
+    often = materialize(each.groupBy("element").agg(F.count(F.lit(1)).alias("n"), *same).where("n > 1"))
     by_row = Window.partitionBy("row")
+    in_order = by_row.orderBy("n", "same", "same_too", "element")
     # Elements of one row alone come first in every order; they only count.
-    place = F.col("size") - F.count(F.lit(1)).over(by_row) + F.row_number().over(by_row.orderBy("n", "element")) - 1
-    placed = each.join(often, "element").select("row", "size", "element", place.alias("place"))
-    heads = materialize(placed.where(F.col("place") <= F.col("size") * (1 - SIMILAR) + 1e-6).join(rows, "row"))
-    of_class = heads.groupBy("element", "label").agg(F.count(F.lit(1)).alias("n"))
+    place = F.col("size") - F.count(F.lit(1)).over(by_row) + F.row_number().over(in_order) - 1
+    first = F.coalesce((F.lag("same").over(in_order) != F.col("same")) | (F.lag("same_too").over(in_order) != F.col("same_too")), F.lit(True))
+    placed = each.join(often, "element").select("row", "size", (F.sum("n").over(by_row) / F.col("size")).alias("mass"), "element", place.alias("place"), first.alias("first"))
+    return materialize(placed.where(F.col("first") & (F.col("place") <= F.col("size") * (1 - SIMILAR) + 1e-6)).drop("first"))
+
+
+def central(found: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs (a, b), one for each element and class: the class's row of greatest mass, and that of all classes. found: as heads() gives it.
+
+    A text that is similar to the one of greatest mass in a class meets it here, since they share an element of their heads.
+    """
+    of_class = materialize(found.join(labels, "row").groupBy("element", "label").agg(F.max(F.struct("mass", "row")).alias("top")))
+    hub = materialize(of_class.groupBy("element").agg(F.max(F.struct("top", "label")).alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
+    pairs = of_class.join(hub, "element").where(F.col("label") != F.col("hub.label"))
+    return pairs.select(F.least("top.row", "hub.top.row").alias("a"), F.greatest("top.row", "hub.top.row").alias("b")).distinct()
+
+
+def candidates(found: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs (a, b) of rows of different classes that can be similar, all of them. found: as heads() gives it.
+
+    The smaller text of a similar pair has their first common element in a shorter head than the larger, so texts that share
+    less than the threshold with each other, as those of a template do, meet nowhere. A class that holds most rows of an element
+    is never compared with itself.
+    """
+    named = materialize(found.drop("mass").join(labels, "row"))
+    of_class = named.groupBy("element", "label").agg(F.count(F.lit(1)).alias("n"))
     most = of_class.groupBy("element").agg(F.max_by("label", F.struct("n", "label")).alias("most"), F.count(F.lit(1)).alias("classes")).where("classes > 1").drop("classes")
-    heads = materialize(heads.join(materialize(most), "element"))
+    met = materialize(named.join(materialize(most), "element"))
     side = lambda df, x: df.select("element", *[F.col(c).alias(f"{x}_{c}") for c in ("row", "label", "size", "place")])
-    short = heads.where(F.col("place") <= F.col("size") * (1 - 2 * SIMILAR / (1 + SIMILAR)) + 1e-6)
+    short = met.where(F.col("place") <= F.col("size") * (1 - 2 * SIMILAR / (1 + SIMILAR)) + 1e-6)
     need = (F.col("a_size") + F.col("b_size")) * (SIMILAR / (1 + SIMILAR)) - 1e-6
     fits = (F.col("a_label") != F.col("b_label")) & (F.col("a_size") <= F.col("b_size")) & (F.col("a_size") - F.col("a_place") >= need) & (F.col("b_size") - F.col("b_place") >= need)
     pair = F.least("a_row", "b_row").alias("a"), F.greatest("a_row", "b_row").alias("b")
     meet = lambda small, large: side(small, "a").join(side(large, "b"), "element").where(fits).select(*pair)
-    return meet(short.where("label <> most"), heads).unionAll(meet(short.where("label = most"), heads.where("label <> most"))).distinct()
+    return meet(short.where("label <> most"), met).unionAll(meet(short.where("label = most"), met.where("label <> most"))).distinct()
 
 
 def _linked(labels: DataFrame, pairs: DataFrame, own: DataFrame) -> DataFrame:
@@ -291,10 +320,16 @@ def classes(docs: DataFrame, keep: list[str]) -> tuple[DataFrame, DataFrame]:
         labels = _linked(labels, fresh, own)
         tried = materialize(known.unionAll(fresh))
 
-    known = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    fresh = materialize(candidates(members, labels, own).join(known, ["a", "b"], "left_anti"))
-    if not fresh.isEmpty():
+    found = heads(members, labels, own)
+    for turn in range(CENTRAL_ROUNDS + 1):
+        # What is central first; at last all that is left, completely.
+        pairs = central(found, labels) if turn < CENTRAL_ROUNDS else candidates(found, labels)
+        known = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        fresh = materialize(pairs.join(known, ["a", "b"], "left_anti"))
+        if fresh.isEmpty():
+            continue
         labels = _linked(labels, fresh, own)
+        tried = materialize(known.unionAll(fresh))
 
     of_first = firsts.join(labels, "row", "left").select("digest", F.coalesce("label", "row").alias("label"))
     labelled = worded.select("row", "digest").join(of_first, "digest").select("row", "label")

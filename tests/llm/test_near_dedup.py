@@ -160,6 +160,26 @@ def test_crowded_template_loses_no_link(spark):
     assert len(set(got.values())) == 150 and all(got[i] == got[j] for i, j in want)
 
 
+def test_copies_of_one_text_are_not_compared_in_all_pairs(spark, monkeypatch):
+    """Copies at 0.81 of one text, at 0.65 of each other: all are one class, by a few comparisons each."""
+    draw = random.Random(3)
+    word = lambda: "".join(draw.choice("abcdefghij") for _ in range(6))
+    base, rows = [word() for _ in range(150)], []
+    for i in range(1000):
+        edited = {p: word() for p in draw.sample(range(5, 145), 0 if i == 500 else 3)}
+        rows.append((i, " ".join(edited.get(p, w) for p, w in enumerate(base))))
+    verify, compared = near_dedup.verify, []
+
+    def counted(pairs, own):
+        compared.append(pairs.count())
+        return verify(pairs, own)
+
+    monkeypatch.setattr(near_dedup, "verify", counted)
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.class_id for r in got} == {0} and len(got) == 1000
+    assert sum(compared) < 15 * len(rows)
+
+
 def test_shuffled_instead_of_broadcast(spark, documents, monkeypatch):
     want = sorted(map(tuple, near_duplicates(documents).collect()))
     monkeypatch.setattr(near_dedup, "BROADCAST_ROWS", 0)
