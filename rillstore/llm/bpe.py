@@ -27,13 +27,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .lexicon import Lexicon, compile_words, mapped
-from .runtime import map_slices, materialize, packed, ship, unpacked
+from .runtime import kept, map_slices, materialize, packed, ship, unpacked
 
 #: Words in the lexicon; the file then has a few MB, whatever the corpus's size.
 LEXICON_WORDS = 120_000
-#: Words that a worker remembers apart from the lexicon before it forgets all of them.
+#: Words that a worker remembers before it forgets those that aren't in the lexicon.
 REMEMBERED = 150_000
 
+#: The name of what a worker keeps between tasks.
+KEPT = "bpe encoders"
+
 NO_MERGE = 1 << 62
 
 # Fixed value: the vocabulary's own pattern of pieces.
@@ -62,12 +65,14 @@ class Vocabulary:
         for n, (a, b) in enumerate(pairs):
             a, b = raw(a), raw(b)
             self.merged[self.id_of[a] << 17 | self.id_of[b]] = n << 17 | self.id_of[a + b]
-        self.keys = np.array(sorted(self.merged), np.int64)
-        self.values = np.array([self.merged[k] for k in self.keys.tolist()], np.int64)
+        self.shift = 64 - max(1, 2 * len(self.merged)).bit_length()
+        self.keys, self.values = self._table()
         self.byte_id = [self.id_of[bytes([b])] for b in range(256)]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.bytes_of = {i: b for b, i in self.id_of.items()} | {i: t.encode() for t, i in self.special.items()}
         self.csv_of = {i: str(i) for i in self.bytes_of}
+        self.size_of = np.zeros(max(self.bytes_of) + 1, np.int64)
+        self.size_of[list(self.bytes_of)] = list(map(len, self.bytes_of.values()))
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.pieces = regex.compile(PATTERN).findall
 
@@ -97,22 +102,47 @@ class Vocabulary:
                 found[i - 1] = merged(ids[i - 1] << 17 | ids[i], NO_MERGE)
         return ids
 
-    def _pairs(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        key = left << 17 | right
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, self.values[at], NO_MERGE)
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(self.shift)).astype(np.int64)
+
+    def _table(self) -> tuple[np.ndarray, np.ndarray]:
+        """Keys and values of `merged` by slot: a pair lies in its slot or one of those that follow without a gap; -1 is a free slot."""
+        key, value = (np.fromiter(x, np.int64, len(self.merged)) for x in (self.merged.keys(), self.merged.values()))
+        keys = np.full(1 << 64 - self.shift, -1, np.int64)
+        values, at = np.full(len(keys), NO_MERGE, np.int64), self._slot(key)
+        while len(key):
+            free = keys[at] < 0
+            keys[at[free]] = key[free]  # of several for one slot the last stays
+            put = keys[at] == key
+            values[at[put]] = value[put]
+            key, value, at = key[~put], value[~put], (at[~put] + 1) % len(keys)
+        return keys, values
 
-    def merge_many(self, words: list[bytes]) -> list[list[int]]:
-        """merge() of many words; those of equal length go through their merges side by side."""
-        out: list[list[int]] = [[]] * len(words)
+    def _pairs(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        shape, key = left.shape, (left << 17 | right).ravel()
+        at = self._slot(key)
+        there = self.keys[at]
+        out = np.where(there == key, self.values[at], NO_MERGE)
+        left_over = np.flatnonzero((there != key) & (there >= 0))
+        key, at = key[left_over], at[left_over]
+        while len(left_over):
+            at = (at + 1) % len(self.keys)
+            there = self.keys[at]
+            found, more = there == key, (there != key) & (there >= 0)
+            out[left_over[found]] = self.values[at[found]]
+            left_over, key, at = left_over[more], key[more], at[more]
+        return out.reshape(shape)
+
+    def merge_many(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """merge() of many words: all ids, and how many of each word; words of equal length go through their merges side by side."""
+        done: list[tuple[np.ndarray, np.ndarray]] = []
         by_size: dict[int, list[int]] = {}
         for i, w in enumerate(words):
             by_size.setdefault(len(w), []).append(i)
         byte_id = np.array(self.byte_id, np.int64)
         for size, group in by_size.items():
             if size > 48 or len(group) < 16:
-                for i in group:
-                    out[i] = self.merge(words[i])
+                done.extend((np.array([i]), np.array([self.merge(words[i])], np.int64)) for i in group)
                 continue
             rows = np.array(group)
             ids = byte_id[np.frombuffer(b"".join([words[i] for i in group]), np.uint8).reshape(len(group), size)]
@@ -123,8 +153,7 @@ class Vocabulary:
                 at = found.argmin(1) if found.shape[1] else np.zeros(len(rows), np.int64)
                 best = found[each, at] if found.shape[1] else np.full(len(rows), NO_MERGE)
                 over = best == NO_MERGE
-                for i, own in zip(rows[over].tolist(), ids[over].tolist(), strict=True):
-                    out[i] = own
+                done.append((rows[over], ids[over]))
                 if over.all():
                     break
                 rows, ids, found, at, best = rows[~over], ids[~over], found[~over], at[~over], best[~over]
@@ -138,7 +167,14 @@ class Vocabulary:
                 found[right, at[right]] = self._pairs(ids[right, at[right]], ids[right, at[right] + 1])
                 left = np.flatnonzero(at > 0)
                 found[left, at[left] - 1] = self._pairs(ids[left, at[left] - 1], ids[left, at[left]])
-        return out
+        sizes = np.zeros(len(words), np.int64)
+        for rows, ids in done:
+            sizes[rows] = ids.shape[1]
+        out = np.zeros(sizes.sum(), np.int64)
+        start = np.cumsum(sizes) - sizes
+        for rows, ids in done:
+            out[start[rows][:, None] + np.arange(ids.shape[1])] = ids
+        return out, sizes
 
     def _merge_long(self, word: bytes) -> list[int]:
         """The same for a long piece, with a heap over a linked list: its time grows as n log n."""
@@ -163,53 +199,80 @@ class Vocabulary:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
 
+def _runs(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each run of that size, one run after the other."""
+    return np.arange(size.sum()) + np.repeat(start - (np.cumsum(size) - size), size)
+
+
 class Encoder:
     """Pieces to ids: remembered, or in the lexicon, or merged."""
 
     def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon):
         self.vocabulary, self.lexicon = vocabulary, lexicon
-        self.csv: dict[str, str] = {}
-        self.raw: dict[str, bytes] = {}
-
-    def learn(self, pieces: set[str]) -> None:
-        """Afterwards csv and raw have the ids, joined by commas, and their bytes, of each of the pieces."""
-        if len(self.csv) + len(pieces) > REMEMBERED:
-            self.csv.clear()
-            self.raw.clear()
+        #: What is made of the ids of pieces in the lexicon, which stay, and of others, which are forgotten in time.
+        self.known: dict[str, str] = {}
+        self.rare: dict[str, str] = {}
+        #: What pieces decode to that don't decode to themselves.
+        self.odd: dict[str, str] = {}
+
+    def made(self, ids: list[int], ends: list[int]) -> list:
+        """The ids of each piece, joined by commas. ids: of all pieces; ends: where each piece's end."""
+        text = list(map(self.vocabulary.csv_of.__getitem__, ids))
+        return [",".join(text[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
+
+    def learn(self, pieces: set[str]) -> dict:
+        """What is made of the ids of each of the pieces."""
+        unknown = [p for p in pieces if p not in self.known]
+        new = [p for p in unknown if p not in self.rare]
+        if len(self.known) + len(self.rare) + len(new) > REMEMBERED:
+            self.rare.clear()
+            new = unknown
         v = self.vocabulary
-        new = [p for p in pieces if p not in self.csv]
         words = [p.encode() for p in new]
-        ranks = self.lexicon.ranks(words).tolist()
-        unseen = [i for i, rank in enumerate(ranks) if rank < 0]
-        merged = dict(zip(unseen, v.merge_many([words[i] for i in unseen]), strict=True))
-        special = v.special
-        for i, piece in enumerate(new):
-            ids = [special[piece]] if piece in special else merged[i] if i in merged else self.lexicon.ids(ranks[i])
-            self.keep(piece, ids)
-
-    def keep(self, piece: str, ids: list[int]) -> None:
-        self.csv[piece] = ",".join(map(self.vocabulary.csv_of.__getitem__, ids))
-        self.raw[piece] = b"".join(map(self.vocabulary.bytes_of.__getitem__, ids))
+        ranks = self.lexicon.ranks(words)
+        ranks[[i for i, p in enumerate(new) if p in v.special]] = -2
+        listed, merged, own = (np.flatnonzero(x) for x in (ranks >= 0, ranks == -1, ranks == -2))
+        parts = [(listed, *self.lexicon.many(ranks[listed])), (merged, *v.merge_many([words[i] for i in merged.tolist()]))]
+        parts.append((own, np.array([v.special[new[i]] for i in own.tolist()], np.int64), np.ones(len(own), np.int64)))
+        size = np.zeros(len(new), np.int64)
+        for at, _, n in parts:
+            size[at] = n
+        ends, ids = np.cumsum(size), np.zeros(size.sum(), np.int64)
+        for at, found, n in parts:
+            ids[_runs((ends - size)[at], n)] = found
+        flat = ids.tolist()
+        self.decode(new, words, ids, flat, ends)
+        found = list(zip(new, self.made(flat, ends.tolist()), strict=True))
+        self.known.update(found[i] for i in listed.tolist())
+        self.rare.update(found[i] for i in merged.tolist() + own.tolist())
+        return self.known | {p: self.rare[p] for p in unknown if p in self.rare}
+
+    def decode(self, pieces: list[str], words: list[bytes], ids: np.ndarray, flat: list[int], ends: np.ndarray) -> None:
+        """Decodes the ids of the pieces side by side; odd gets the pieces whose ids decode to something else."""
+        v = self.vocabulary
+        raw = b"".join(map(v.bytes_of.__getitem__, flat))
+        at = np.r_[0, np.cumsum(v.size_of[ids])][ends]
+        if raw != b"".join(words) or not np.array_equal(at, np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))):
+            for piece, start, end in zip(pieces, [0, *at.tolist()], at.tolist(), strict=False):
+                if (text := raw[start:end].decode("utf-8", "replace")) != piece:
+                    self.odd[piece] = text
 
     def batch(self, texts: list[str | None]) -> list[tuple[str, str]]:
         """Of each text: its ids joined by commas, and what they decode to."""
         cut = [self.vocabulary.split(t or "") for t in texts]
-        self.learn(set().union(*cut))
-        csv, raw = self.csv, self.raw
-        return [(",".join([csv[p] for p in pieces]), b"".join([raw[p] for p in pieces]).decode("utf-8", "replace")) for pieces in cut]
-
-
-_ENCODERS: dict[tuple[str, str], Encoder] = {}
+        csv, odd = self.learn(set().union(*cut)), self.odd
+        # A piece is whole characters, so a text decodes piece by piece.
+        return [(",".join([csv[p] for p in own]), "".join([odd.get(p, p) for p in own] if odd else own)) for own in cut]
 
 
 def encoder(name: str, lexicon: Broadcast) -> Encoder:
     """This worker's encoder for a vocabulary and a lexicon."""
     blob = lexicon.value
-    key = name, hashlib.sha256(blob).hexdigest()
-    if key not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[key] = Encoder(Vocabulary(public_tokenizers.path(name)), mapped(blob))
-    return _ENCODERS[key]
+    key, encoders = (name, hashlib.sha256(blob).hexdigest()), kept(KEPT)
+    if key not in encoders:
+        encoders.clear()
+        encoders[key] = Encoder(Vocabulary(public_tokenizers.path(name)), mapped(blob))
+    return encoders[key]
 
 
 def frequent_words(docs: DataFrame, most: int = LEXICON_WORDS) -> list[str]:
@@ -257,10 +320,10 @@ def encode(docs: DataFrame, keep: list[str], name: str = "byte_bpe_50k.json", le
             ids_sha.append(hashlib.sha256(joined.encode()).hexdigest())
             text_sha.append(hashlib.sha256(text.encode()).hexdigest())
             if with_ids:
-                ids.append(np.array(joined.split(","), np.int32) if joined else np.zeros(0, np.int32))
+                ids.append(np.fromstring(joined, np.int32, sep=","))
                 decoded.append(text)
         arrays = [batch.column("kept"), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
         arrays += [_lists(ids), pa.array(decoded, pa.string())] if with_ids else []
         return pa.RecordBatch.from_arrays(arrays, names=["kept", *results.names])
 
-    return unpacked(map_slices(taken, run, T.StructType([taken.schema["kept"], *results])), keep, *results.names)
+    return unpacked(map_slices(taken, run, T.StructType([taken.schema["kept"], *results]), keeps=KEPT), keep, *results.names)

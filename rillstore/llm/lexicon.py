@@ -78,7 +78,7 @@ class Lexicon:
         head = json.loads(raw[4 : 4 + n].tobytes())
         at = 4 + n + -(4 + n) % 4
         for name, size in zip(ARRAYS, head["sizes"], strict=True):
-            setattr(self, name, raw[at : at + 4 * size].view(np.uint32))
+            setattr(self, name, raw[at : at + 4 * size].view(np.uint32).view(np.ndarray))
             at += 4 * size
         self.root, self.longest = head["root"], head["longest"]
 
@@ -107,6 +107,12 @@ class Lexicon:
     def ids(self, rank: int) -> list[int]:
         return self.outputs[self.offsets[rank] : self.offsets[rank + 1]].tolist()
 
+    def many(self, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """ids() of many ranks: all ids, and how many of each rank."""
+        start = self.offsets[ranks].astype(np.int64)
+        size = self.offsets[ranks + 1] - start
+        return self.outputs[np.arange(size.sum()) + np.repeat(start - (np.cumsum(size) - size), size)], size
+
 
 def mapped(blob: bytes) -> Lexicon:
     """The lexicon of these bytes, mapped from a file of this machine's temporary folder that is gone when the process is."""

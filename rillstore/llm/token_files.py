@@ -42,13 +42,13 @@ WIDTH, SEPARATOR = 2, 50256
 class FlatEncoder(Encoder):
     """Pieces to the bytes of their 16-bit ids."""
 
-    def keep(self, piece: str, ids: list[int]) -> None:
-        self.csv[piece] = array("H", ids).tobytes()
+    def made(self, ids: list[int], ends: list[int]) -> list[bytes]:
+        raw = array("H", ids).tobytes()
+        return [raw[WIDTH * a : WIDTH * b] for a, b in zip([0, *ends], ends, strict=False)]
 
     def flat(self, texts: list[str | None]) -> list[bytes]:
         cut = [self.vocabulary.pieces(t or "") for t in texts]
-        self.learn(set().union(*cut))
-        own = self.csv
+        own = self.learn(set().union(*cut))
         return [b"".join([own[p] for p in pieces]) for pieces in cut]
 
 

@@ -5,7 +5,7 @@ from collections import Counter
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from rillstore.llm import bpe
+from rillstore.llm import bpe, runtime
 from rillstore.llm.lexicon import compile_words, mapped
 
 NAME = "byte_bpe_50k.json"
@@ -44,5 +44,36 @@ def test_long_pieces_merge_alike():
         assert [i for p in own.split(text) for i in own.merge(p.encode())] == library.encode(text, add_special_tokens=False).ids
 
 
+def test_frequent_words_are_looked_up_once(monkeypatch):
+    """Words of the lexicon stay when others are forgotten; ids equal the library's throughout."""
+    monkeypatch.setattr(bpe, "REMEMBERED", 60)
+    library, v = Tokenizer.from_file(public_tokenizers.path(NAME)), bpe.Vocabulary(public_tokenizers.path(NAME))
+    words = [b" house", b" garden", b" the"]
+    lexicon, asked = mapped(compile_words((w, tuple(v.merge(w))) for w in words)), Counter()
+    ranks = lexicon.ranks
+    monkeypatch.setattr(lexicon, "ranks", lambda ws: (asked.update(ws), ranks(ws))[1])
+    own = bpe.Encoder(v, lexicon)
+    for n in range(8):
+        texts = ["in the house" + "".join(f" ra{chr(97 + n)}{chr(97 + k)}xq" for k in range(25)), " the garden<|endoftext|>é😀\n", "", None]
+        want = [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+        assert own.batch(texts) == [(",".join(map(str, i)), library.decode(i, skip_special_tokens=False)) for i in want]
+    assert [asked[w] for w in words] == [1, 1, 1]
+
+
+def test_decoded_text_comes_from_the_ids():
+    v = bpe.Vocabulary(public_tokenizers.path(NAME))
+    the = v.id_of[b" the"]
+    v.bytes_of[the], v.size_of[the] = b"\xff?", 2
+    assert [t for _, t in bpe.Encoder(v, mapped(compile_words([]))).batch(["in the house", "a house"])] == ["in\ufffd? house", "a house"]
+
+
+def test_workers_release_what_other_operators_keep():
+    runtime.kept("a")["x"] = runtime.kept("b")["x"] = 1
+    runtime.release("a")
+    assert runtime.kept("a") == {"x": 1} and runtime.kept("b") == {}
+    runtime.release()
+    assert runtime.kept("a") == {}
+
+
 def test_empty_table(empty):
     assert bpe.encode(empty, ["doc_id"]).count() == 0
