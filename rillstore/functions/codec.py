@@ -28,11 +28,11 @@ def _hex_at(h: Column, i: Column | int) -> Column:
     return F.conv(F.substring(h, F.lit(i) * 2 + 1 if isinstance(i, int) else i * 2 + 1, F.lit(2)), 16, 10).cast("long")
 
 
-def varint_length(x: Column, widest: int = 10) -> Column:
-    """Bytes of the varint of a non-negative integer."""
-    out = F.lit(widest)
-    for n in reversed(range(1, widest)):
-        out = F.when(x < F.lit(1 << 7 * n), n).otherwise(out) if 7 * n < 63 else out
+def varint_length(x: Column) -> Column:
+    """Bytes of the varint of a non-negative BIGINT, nine at most."""
+    out = F.lit(9)
+    for n in reversed(range(1, 9)):
+        out = F.when(x < F.lit(1 << 7 * n), n).otherwise(out)
     return out
 
 
@@ -46,7 +46,7 @@ def varint(x: Column) -> Column:
 
             return one
 
-        return let(varint_length(v, 9), lambda n: F.array_join(F.transform(F.sequence(F.lit(0), n - 1), byte(n)), ""))
+        return let(varint_length(v), lambda n: F.array_join(F.transform(F.sequence(F.lit(0), n - 1), byte(n)), ""))
 
     return F.unhex(let(x, whole))
 

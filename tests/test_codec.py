@@ -49,6 +49,15 @@ def test_encoders(spark):
     assert le.select(codec.fixed_le_value(F.col("b"), 4), codec.fixed_le_value(F.col("b"), 8)).first()[:] == (513, 0xFF00000000000201)
 
 
+def test_varint_length_of_every_width(spark):
+    values = [0] + [v for n in range(1, 10) for v in ((1 << 7 * n) - 1, 1 << 7 * n) if v < 1 << 63]
+    df = spark.createDataFrame([(v,) for v in values], "x bigint")
+    x = F.col("x")
+    got = df.select("x", codec.varint_length(x).alias("length"), F.octet_length(codec.varint(x)).alias("bytes"), codec.varint_value(codec.varint(x)).alias("v")).collect()
+    want = {v: max(1, -(-v.bit_length() // 7)) for v in values}
+    assert {r.x: (r.length, r.bytes, r.v.ok, r.v.cursor, int(r.v.value)) for r in got} == {v: (n, n, True, n, v) for v, n in want.items()}
+
+
 def test_murmur_of_all_lengths(spark):
     draw = random.Random(0)
     rows = [(bytes(draw.randrange(256) for _ in range(n)),) for n in range(25) for _ in range(4)]
